@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, ngram_join, packing, substring_dedup
+from loomgraph.llm import bpe_codec, license_scan, ngram_join, packing, substring_dedup
 
-MODULES = [ngram_join, packing, bpe_codec, substring_dedup]
+MODULES = [ngram_join, license_scan, packing, bpe_codec, substring_dedup]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
