@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import table, worker_cache
 
 SLICE = 1 << 20
-#: Chunks kept by a worker; beyond that it starts anew.
-KEPT_CHUNKS = 400_000
+#: Chunks kept by a worker (about 200 bytes each); beyond that it starts anew.
+KEPT_CHUNKS = 1_000_000
+#: Below this, all versions of Unicode agree on what letters are.
+LATIN_END = "\u0250"
+#: A word and the marks after it are two pieces (an apostrophe may not be); most chunks are made of known ones.
+MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def byte_table() -> dict[int, str]:
@@ -71,13 +75,53 @@ class ChunkCodec:
         self.pieces += [b""] * (max(added, default=-1) + 1 - len(self.pieces))
         for k, token in added.items():
             self.pieces[k] = token
+        # Without added tokens in it, a chunk needs only the model, which is faster by itself.
+        from tokenizers import Tokenizer
+
+        self.marks = [t.decode() for t in added.values()]
+        self.plain = tokenizer
+        if self.marks and tokenizer.normalizer is None:
+            self.plain = Tokenizer(tokenizer.model)
+            self.plain.pre_tokenizer = tokenizer.pre_tokenizer
+        self.model = self.plain.model
+        self.space, self.shown = byte_table()[0x20], byte_table()
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.loose = re.compile(r"\s\s")
         self.cut = re.compile(r"(?<!\s) (?!\s)")
 
     def _ids(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha() and max(word) < LATIN_END:  # one piece, so it can go to the model as it is
+            shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+            return array("I", [t.id for t in self.model.tokenize(shown if word is chunk else self.space + shown)]).tobytes()
+        use = self.tokenizer if any(m in chunk for m in self.marks) else self.plain
+        return array("I", use.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _head(self, chunk: str) -> bytes:
+        found = self.first.get(chunk)
+        if found is None:
+            found = self.first[chunk] = self._ids(chunk)
+        return found
+
+    def _word(self, chunk: str) -> bytes:
+        m = MARKED.fullmatch(chunk)
+        return self._head(m[1]) + self._head(m[2]) if m else self._head(chunk)
+
+    def _tail(self, chunk: str) -> bytes:
+        """The ids of a chunk with its blank."""
+        found = self.later.get(chunk)
+        if found is None:
+            if m := MARKED.fullmatch(chunk):
+                found = self._tail(m[1]) + self._head(m[2])
+            elif "\n" in chunk and all(p and not p[0].isspace() and not p[-1].isspace() for p in chunk.split("\n")):
+                # a line end between two characters that aren't white space is a piece, too
+                before, *after = chunk.split("\n")
+                found = self._tail(before) + b"".join([self._head("\n") + self._word(p) for p in after])
+            else:
+                found = self._ids(" " + chunk)
+            self.later[chunk] = found
+        return found
 
     def _slices(self, text: str) -> Iterator[tuple[str, bool]]:
         """Slices that end where a chunk ends; the space in between is left out, and belongs to the slice after it."""
@@ -96,18 +140,12 @@ class ChunkCodec:
                 self.later.clear()
                 self.first.clear()
             if not begun:
-                head = chunks.pop(0)
-                if head not in self.first:
-                    self.first[head] = self._ids(head)
-                out.append(self.first[head])
+                out.append(self._head(chunks.pop(0)))
             known = self.later
             try:
                 out.append(b"".join([known[c] for c in chunks]))
             except KeyError:
-                for c in chunks:
-                    if c not in known:
-                        known[c] = self._ids(" " + c)
-                out.append(b"".join([known[c] for c in chunks]))
+                out.append(b"".join([self._tail(c) for c in chunks]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

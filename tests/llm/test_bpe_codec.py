@@ -10,7 +10,7 @@ from loomgraph.llm import bpe_codec as B
 
 RANKS = B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 TIK = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-ODD = ["", " ", "a", " a", "a ", "  a  b", "it's we'll\n\n x\t y", "naïve Straße 日本語 🙂🙂  x   y", "a\u0085b \u0085c", "<|endoftext|> x", "a​b  　 c", "x \r\n y\x1c z \x1f", "1234 12a ½ ²", "é ก็ \U0001f468‍\U0001f469", "x" * 3000, " " * 500 + "y"]
+ODD = ["", " ", "a", " a", "a ", "  a  b", "it's we'll\n\n x\t y", "naïve Straße 日本語 🙂🙂  x   y", "a\u0085b \u0085c", "<|endoftext|> x", "a​b  　 c", "x \r\n y\x1c z \x1f", "1234 12a ½ ²", "é ก็ \U0001f468‍\U0001f469", "x" * 3000, "ab.\nCd, e###\nf\tg\n h.\n\ni \nj k\n", "a b's c'd. e.'s f_g_ h_ é.É", "a \n", "Ab.\n. c", " " * 500 + "y"]
 
 
 def ids(codec, text):
