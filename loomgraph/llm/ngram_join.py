@@ -9,12 +9,15 @@ the KEPT_FREQUENT most frequent are handed to all tasks (a bound on their number
 
 Prefixes. Two sets of sizes n and m that are similar enough share at least l of their first n - ceil(t n) + l and
 m - ceil(t m) + l shingles. Every set starts with l = 1. Its cost is estimated by the number of other rows that its prefix
-meets; l grows with the logarithm of the cost, and the prefix with l. A pair is verified if it shares min(l, l') shingles.
+meets; l grows with the logarithm of the cost, and the prefix with l. Of a pair, the prefix that ends first in the order has all
+common shingles up to there; so a pair is verified if the shingles that its prefixes share, and all that the longer rest
+could add, reach the overlap that sets of these sizes need. That is min(l, l') shared shingles, and more where sizes are near.
 
 Links. In large groups of near copies, all pairs of a shingle's nodes would be too many. So each node is first verified
-against the least node of its shingles' lists (the two least nodes that it shares most with). Linked nodes are one
-component, and shingles whose nodes are all of one component can't add a link between components. Of the other shingles,
-all pairs of nodes from different components are counted and verified as above, so no link that matters is lost.
+against one head: in the list of each shingle that is the node whose prefix meets most, which in a group of near copies is
+what they were copied from, and of these heads the one that it shares most with. Linked nodes are one component, and shingles whose nodes are all of one component can't add a link between components. Of the other shingles,
+all pairs of nodes from different components that can have their first common shingle there are counted and verified as
+above, so no link that matters is lost.
 
 Defined cases: null or empty texts, and texts of blanks only, have the empty set and are linked with nothing, not even with
 each other. Rows with a null doc_id get the size of their set and component_id null, and are linked with nothing. Rows that
@@ -43,13 +46,17 @@ MOST = 8
 #: A prefix that meets so many rows is lengthened by one, and by one more whenever that doubles.
 COST = 64
 KEPT_FREQUENT = 1 << 18
+#: A table of ids (16 bytes a row) is broadcast up to so many rows.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The sorted distinct hashes of the shingles; of a shorter text, the whole sequence as one."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z only
-    h = H.hashed(found)
-    return np.unique(H.ngrams(h, min(n, len(h)))) if len(h) else np.empty(0, np.uint64)
+    h = H.hashed((text or "").encode().lower())  # bytes: A-Z only
+    if not len(h):
+        return h
+    every = np.sort(H.ngrams(h, min(n, len(h))))
+    return every[np.concatenate([[True], every[1:] != every[:-1]])]
 
 
 def node_of(found: np.ndarray) -> int:
@@ -65,21 +72,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sizes(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node of every row; node is null where the set is empty."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long")
-
-
-def frequent(docs: DataFrame, n: int = WORDS, kept: int = KEPT_FREQUENT) -> DataFrame:
-    """token, seen: the most frequent shingles, from each task's counts of two and more over all its documents."""
+def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """One pass over all texts. doc_id, n_shingles, node of every row (node null where the set is empty; token null); token, seen of shingles that a task has seen twice or more."""
 
     def run(batches):
+        names = ["doc_id", "n_shingles", "node", "token", "seen"]
         parts: list[np.ndarray] = []
         tokens, counts, waiting = np.empty(0, np.uint64), np.empty(0, np.int64), 0
 
@@ -90,19 +87,27 @@ def frequent(docs: DataFrame, n: int = WORDS, kept: int = KEPT_FREQUENT) -> Data
             return at, np.bincount(back, np.concatenate([counts, one])).astype(np.int64)
 
         for batch in batches:
-            for t in batch.column(0):
-                parts.append(shingles(t.as_py(), n))
-                waiting += len(parts[-1])
+            sets = [shingles(t.as_py(), n) for t in batch.column(1)]
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), none, none], names=names)
+            for s in sets:
+                parts.append(s)
+                waiting += len(s)
                 if waiting > 4_000_000:  # what has been seen once goes, so that memory stays bounded
                     tokens, counts = merged()
                     tokens, counts, parts, waiting = tokens[counts > 1], counts[counts > 1], [], 0
         if parts:
             tokens, counts = merged()
         keep = counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=["token", "seen"])
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=names)
 
-    rows = _texts(docs).where("doc_id is not null").select("text").mapInArrow(run, "token long, seen long")
-    return rows.groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4").orderBy(F.desc("seen"), "token").limit(kept)
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, token long, seen long")
+
+
+def frequent(surveyed: DataFrame, kept: int = KEPT_FREQUENT) -> DataFrame:
+    """token, seen: the most frequent shingles of all documents."""
+    return surveyed.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4").orderBy(F.desc("seen"), "token").limit(kept)
 
 
 def prefixes(docs: DataFrame, last: "tuple[np.ndarray, np.ndarray]", n: int = WORDS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
@@ -167,9 +172,10 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int =
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def node_links(docs: DataFrame, found: DataFrame, n: int = WORDS, percent: int = PERCENT, most: int = MOST, cost: int = COST) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between nodes, enough of them for all components, and these components (node, label). found: rows of sizes()."""
-    top = frequent(docs, n).toPandas()  # bounded by KEPT_FREQUENT
+def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: int = PERCENT, most: int = MOST, cost: int = COST) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between nodes, enough of them for all components, and these components (node, label). surveyed: rows of survey(), computed once."""
+    found = surveyed.where("token is null")
+    top = frequent(surveyed).toPandas()  # bounded by KEPT_FREQUENT
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     first = prefixes(docs, (tokens[order], top["seen"].to_numpy(np.int64)[order]), n, percent, most)
@@ -177,42 +183,57 @@ def node_links(docs: DataFrame, found: DataFrame, n: int = WORDS, percent: int =
     # Shingles of one node only meet nothing. A node that several tasks have given makes a count of two, too: it goes below.
     often = first.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1").select("token")
     live = written(first.join(often, "token", "left_semi").distinct(), "postings")
-    lists = live.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("largest"), F.count("*").alias("met")).where("least < largest")
-    live = written(live.join(lists, "token").select("token", "node", "place", "least", "met", _size("place").alias("size"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")), "postings")
+    lists = live.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
+    live = written(live.join(lists, "token").select("token", "node", "met", _size("place").alias("size"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")), "postings")
 
     # l, by the rows that the prefix for l = 1 meets.
     needed = -F.floor(-F.col("size") * percent / 100)
     met = live.groupBy("node", "size").agg(F.sum(F.when(F.col("at") <= F.col("size") - needed, F.col("met") - 1).otherwise(0)).alias("met"))
     level = F.when(F.col("met") < cost, 1).otherwise(F.floor(F.log2(F.col("met") / cost)) + 2)
     level = met.select("node", F.greatest(F.lit(1), F.least(level, F.lit(most), needed)).cast("long").alias("l"))
-    live = written(live.join(level, "node").where(F.col("at") < F.col("size") - needed + F.col("l")).select("token", "node", "size", "l", "least"), "postings")
-
-    # Round one: the least nodes of a node's lists.
-    heads = live.select(F.col("node").alias("least"), F.col("size").alias("other")).distinct()
-    stars = live.where("node <> least").groupBy("node", "size", "least").agg(F.count("*").alias("both")).join(heads, "least").where(_near("size", "other", percent))
-    best = W.partitionBy("node").orderBy(F.desc("both"), "least")
-    stars = stars.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    live = live.join(level, "node").where(F.col("at") < F.col("size") - needed + F.col("l")).select("token", "node", "size", "at", (needed - F.col("l")).cast("long").alias("left"))
+
+    # Round one: of each list, the node whose prefix meets most (in a group of near copies, what they are copies of).
+    live = live.join(met.select("node", F.struct("met", "node").alias("rank")), "node")
+    heads = live.groupBy("token").agg(F.max("rank").alias("head")).select("token", F.col("head.node").alias("head"))
+    live = written(live.join(heads, "token"), "postings")
+    stars = live.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("both"))
+    best = W.partitionBy("node").orderBy(F.desc("both"), "head")
+    stars = stars.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(F.col("node").alias("a"), F.col("head").alias("b"))
     stars = written(stars, "pairs")
 
     # The texts of all nodes that meet another one.
     chosen = found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(live.select("node").distinct(), "node", "left_semi")
+    chosen = written(chosen, "chosen")
+    if chosen.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        chosen = F.broadcast(chosen)
 
-    def own(batches):
+    def right(batches):
         for batch in batches:
             mine = [node_of(s) == k if len(s := shingles(t.as_py(), n)) else False for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield batch.filter(pa.array(mine, pa.bool_()))
 
-    texts = written(_texts(docs).join(chosen, "doc_id").select("node", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
+    texts = written(_texts(docs).join(chosen, "doc_id").select("node", "text").mapInArrow(right, "node long, text string").dropDuplicates(["node"]), "texts")
     links = written(verified(stars, texts, n, percent), "links")
     one = components(links)
 
     # Round two: shingles whose nodes aren't all of one component.
-    labelled = live.drop("least").join(one, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = live.select("token", "node", "size", "at", "left").join(one, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rest = written(labelled.join(mixed, "token", "left_semi"), "postings")
-    side = lambda x: rest.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "l", "label")))
-    cross = side("a").join(side("b"), "token").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _near("size_a", "size_b", percent))
-    cross = cross.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("both"), F.min(F.least("l_a", "l_b")).alias("l")).where("both >= l").select("a", "b")
+    # A pair's first common shingle leaves room for its overlap behind it in both sets; in the shorter one (b) that is near the start.
+    overlap = lambda sizes: -F.floor(-sizes * percent / (100 + percent))
+    side = lambda x: rest.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "at", "label")))
+    shorter = side("b").where(F.col("size_b") - F.col("at_b") >= overlap(2 * F.col("size_b")))
+    ordered = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= overlap(F.col("size_a") + F.col("size_b"))
+    met_once = side("a").join(shorter, "token").where(ordered & (F.col("label_a") != F.col("label_b")) & _near("size_a", "size_b", percent) & room)
+    met_once = met_once.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    # Beyond the prefix that ends first, a set has "left" shingles; so the shared ones before must make up for the rest.
+    own = rest.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("size").alias("size"), F.first("left").alias("left"))
+    of = lambda x: own.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("tokens", "size", "left")))
+    asked = overlap(F.col("size_a") + F.col("size_b")) - F.greatest("left_a", "left_b")
+    cross = met_once.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= asked).select("a", "b")
     more = written(verified(written(cross, "pairs"), texts, n, percent), "links")
     dropped(stars, rest, live)
     every = links.unionByName(more)
@@ -221,8 +242,9 @@ def node_links(docs: DataFrame, found: DataFrame, n: int = WORDS, percent: int =
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, node of every row (the links are between nodes: node_links())."""
-    found = written(sizes(docs, n), "sizes")
-    _, parts = node_links(docs, found, n, percent)
+    surveyed = written(survey(docs, n), "survey")
+    found = surveyed.where("token is null").select("doc_id", "n_shingles", "node")
+    _, parts = node_links(docs, surveyed, n, percent)
     named = found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(parts, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = _same_document(found, written(named.join(least, "label").select("node", "component_id"), "components"))
@@ -244,7 +266,9 @@ def _same_document(found: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the documents of a component other than that with the smallest doc_id. Rows with null ids or empty sets stay; of repeated rows of one doc_id, all stay."""
-    gone = classes(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(classes(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 

@@ -56,7 +56,7 @@ def blocks(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFra
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], [], []]
             for text in batch.column(2):
-                h = H.hashed(H.words(text.as_py()))
+                h = H.hashed((text.as_py() or "").encode())
                 if len(h) < window:
                     first = size = np.empty(0, np.int64)
                     anchor = prints = np.empty(0, np.uint64)
@@ -81,7 +81,7 @@ def windows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW, short: int
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], []]
             for text, own in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                spans = H.Spans(H.hashed(H.words(text.as_py())))
+                spans = H.Spans(H.hashed((text.as_py() or "").encode()))
                 at = np.unique(np.concatenate([np.arange(b["start"], b["start"] + b["size"] - window + 1) for b in own]))
                 for to, x in zip(found, (spans.of(at, window, 0), spans.of(at, window, 1), at), strict=True):
                     to.append(x)

@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 from loomgraph.llm.common import worker_cache
 
-#: Word hashes kept by a worker; beyond that it starts anew.
-KEPT_WORDS = 400_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 ONE = np.uint64(1)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Bytes that are hashed at once (more only where a word is longer).
+SLICE = 1 << 21
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def words(text: str | None) -> list[bytes]:
@@ -26,9 +19,42 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def hashed(found: list[bytes]) -> np.ndarray:
-    known = worker_cache().setdefault("word_hashes", _Hashes())
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the first base and of its inverse, kept by the worker."""
+    kept = worker_cache()
+    if len(kept.get("powers", ((),))[0]) < n:
+        n = max(n, 1 << 14)
+        base, inverse = BASES[0], np.uint64(pow(int(BASES[0]), -1, 1 << 64))
+        kept["powers"] = tuple(np.cumprod(np.concatenate([[ONE], np.full(n - 1, x)]), dtype=np.uint64) for x in (base, inverse))
+    return kept["powers"]
+
+
+def _letters() -> np.ndarray:
+    kept = worker_cache()
+    if "letters" not in kept:
+        kept["letters"] = mixed(np.arange(1, 257, dtype=np.uint64) * BASES[1])
+    return kept["letters"]
+
+
+def hashed(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over random values of its bytes, all words of a slice at once."""
+    out, at = [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > SLICE:
+            found = [k for k in (raw.find(bytes([c]), at + SLICE) for c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)) if k >= 0]
+            end = min(found, default=end)
+        b = np.frombuffer(raw, np.uint8, end - at, at)
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = ~SPACE[b]
+        edge = np.diff(inside)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_letters()[b] * up[: len(b)], out=sums[1:], dtype=np.uint64)
+        out.append(mixed((sums[last] - sums[first]) * down[first]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
