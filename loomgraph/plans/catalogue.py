@@ -1,16 +1,621 @@
-"""Queries over the driver's tables, one for each operator of the library, with their SQL equivalents."""
+"""Queries over the driver's tables, one or more for each operator of the library, with their SQL equivalents.
+
+Graphs: SP supplier x part (sum of quantities), NN nation to nation (customers' to suppliers', number of lines), NNS the three
+heaviest targets of each nation in NN, UU user to user and ET event type to event type (consecutive events), EM embeddings as a
+dense matrix, RUNES the first three letters of the nations' names.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomgraph.functions import algebra, ops
+from loomgraph.operators import elementwise as E
+from loomgraph.operators import reduce as R
+from loomgraph.operators import runes
+from loomgraph.operators.matrix import Matrix, Vector
+from loomgraph.operators.multiply import mxm, mxv, strassen, vxm
+from loomgraph.operators.row_reduction import reduced
+from loomgraph.plans import centrality, clustering, traversal
+from loomgraph.sources import builders
+from loomgraph.sources.storage import cut
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def trade_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return read("nation").select(F.col("n_nationkey").cast("long").alias("i"))
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def sp(spark: SparkSession, d: str) -> Matrix:
+    n, m = (_read(spark, d, t).count() for t in ("supplier", "part"))
+    return builders.from_edges(_read(spark, d, "lineitem"), n, m, "l_suppkey", "l_partkey", "l_quantity", check=False)
+
+
+def nn(spark: SparkSession, d: str) -> Matrix:
+    lines = _read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = _read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customer = _read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("i"))
+    supplier = _read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("j"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return Matrix(rows.groupBy("i", "j").agg(F.count("*").alias("v")), 25, 25)
+
+
+def nns(spark: SparkSession, d: str) -> Matrix:
+    best = W.partitionBy("i").orderBy(F.desc("v"), "j")
+    rows = nn(spark, d).df.where("i <> j").withColumn("nth", F.row_number().over(best)).where("nth <= 3").select("i", "j", F.col("v").cast("double").alias("v"))
+    return Matrix(cut(rows), 25, 25)
+
+
+def uu(spark: SparkSession, d: str) -> Matrix:
+    order = W.partitionBy(F.floor(F.col("event_id") / 1000)).orderBy("event_id")
+    e = _read(spark, d, "events").select("user_id", F.lead("user_id").over(order).alias("to"))
+    rows = e.where("to is not null and user_id <> to").groupBy(F.col("user_id").alias("i"), F.col("to").alias("j")).agg(F.count("*").cast("double").alias("v"))
+    n = _read(spark, d, "events").agg(F.max("user_id")).first()[0] + 1
+    return Matrix(cut(rows), n, n)
+
+
+def em(spark: SparkSession, d: str) -> Matrix:
+    e = _read(spark, d, "embeddings")
+    cells = e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    return Matrix(cells, e.count(), 64, "dense")
+
+
+def rune_matrix(spark: SparkSession, d: str) -> Matrix:
+    n = _read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.upper("n_name").alias("s"))
+    cells = n.select("i", F.posexplode(F.array(*(F.substring("s", k, 1) for k in (1, 2, 3)))).alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
+    return Matrix(cells, 25, 3, "dense")
+
+
+SP = "sp AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)"
+NN = """nn AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, count(*) AS v FROM lineitem
+JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+NNS = f"{NN}, nns AS (SELECT i, j, CAST(v AS DOUBLE) AS v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS nth FROM nn WHERE i <> j) WHERE nth <= 3)"
+UU = """uu AS (SELECT user_id AS i, nxt AS j, CAST(count(*) AS DOUBLE) AS v FROM (
+SELECT user_id, lead(user_id) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND user_id <> nxt GROUP BY 1, 2)"""
+RUNES = "runes AS (SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(k - 1 AS BIGINT) AS j, substr(upper(n_name), k, 1) AS v FROM nation, (SELECT unnest([1, 2, 3]) AS k))"
+
+
+def ones(m: Matrix) -> Vector:
+    return Vector(m.spark.range(m.ncols).select(F.col("id").alias("i"), F.lit(1).cast(m.dtype).alias("v")), m.ncols, "dense")
+
+
+def trade_row_sums(spark: SparkSession, d: str) -> DataFrame:
+    m = nn(spark, d)
+    return mxv(m, ones(m)).df
+
+
+query("trade_row_sums", f"WITH {NN} SELECT i, CAST(sum(v) AS BIGINT) AS v FROM nn GROUP BY i")(trade_row_sums)
+
+# ---------------------------------------------------------------- sources, accessors
+
+
+@query("build_edges", f"WITH {SP} SELECT * FROM sp")
+def _(s, d):
+    return sp(s, d).df
+
+
+@query("from_array", "SELECT vec_id AS i, CAST(k - 1 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 6) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE embedding[k] <> 0")
+def _(s, d):
+    return em(s, d).sparse().df.select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query("to_dense", f"WITH {NNS} SELECT a.k AS i, b.k AS j, coalesce(v, 0) AS v FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b LEFT JOIN nns ON i = a.k AND j = b.k")
+def _(s, d):
+    return nns(s, d).dense().df
+
+
+@query("zero_matrix", "SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS j, CAST(0 AS DOUBLE) AS v FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(4)) AS b)")
+def _(s, d):
+    return builders.zeros(s, 5, 4).df
+
+
+@query("empty_matrix", "SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS v WHERE 1 = 0")
+def _(s, d):
+    return builders.empty(s, 5, 4).df
+
+
+@query("at_point", f"WITH {SP} SELECT i, j, v FROM sp WHERE i = 3 AND j <= 40")
+def _(s, d):
+    return sp(s, d).row(3).df.where("i <= 40").select(F.lit(3).cast("long").alias("i"), F.col("i").alias("j"), "v")
+
+
+@query("row_slice", f"WITH {SP} SELECT j AS i, v FROM sp WHERE i = 5")
+def _(s, d):
+    return sp(s, d).row(5).df
+
+
+@query("column_slice", f"WITH {SP} SELECT i, v FROM sp WHERE j = 7")
+def _(s, d):
+    return sp(s, d).column(7).df
+
+
+@query("row_array", f"WITH {NNS} SELECT string_agg(CAST(CAST(coalesce(v, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS values FROM (SELECT unnest(range(25)) AS k) LEFT JOIN nns ON i = 2 AND j = k")
+def _(s, d):
+    return nns(s, d).row_array(2).select(F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("values"))
+
+
+@query("set_point", f"WITH {NN} SELECT i, j, CASE WHEN i = 1 AND j = 2 THEN 77 ELSE v END AS v FROM nn WHERE NOT (i = 0 AND j = 0)")
+def _(s, d):
+    return nn(s, d).set(1, 2, 77).set(0, 0, 0).df
+
+
+@query("update_point", f"WITH {NN} SELECT i, j, CASE WHEN i = 1 AND j = 2 THEN v * 2 ELSE v END AS v FROM nn")
+def _(s, d):
+    return nn(s, d).update(1, 2, lambda v: v * 2).df
+
+
+@query("map_values", f"WITH {NN} SELECT i, j, v + i - j AS v FROM nn WHERE v + i - j <> 0")
+def _(s, d):
+    return nn(s, d).map(lambda i, j, v: v + i - j).df
+
+
+@query("resize", f"WITH {SP} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM sp WHERE i < 4 GROUP BY i")
+def _(s, d):
+    return R.row_sums(sp(s, d)).resize(4).df
+
+
+@query("shape_and_stored", f"WITH {SP} SELECT (SELECT count(*) FROM supplier) AS nrows, (SELECT count(*) FROM part) AS ncols, count(*) AS stored FROM sp")
+def _(s, d):
+    m = sp(s, d)
+    return m.df.agg(F.lit(m.nrows).cast("long").alias("nrows"), F.lit(m.ncols).cast("long").alias("ncols"), F.count("*").alias("stored"))
+
+
+@query("clear", f"WITH {NN} SELECT * FROM nn WHERE 1 = 0")
+def _(s, d):
+    return nn(s, d).clear().df
+
+
+# ---------------------------------------------------------------- projections, predicates
+
+
+@query("apply_square", f"WITH {NN} SELECT i, j, v * v AS v FROM nn")
+def _(s, d):
+    return E.apply(nn(s, d), ops.UnaryOp(lambda v: v * v)).df
+
+
+@query("apply_masked", f"WITH {NN} SELECT i, j, v + 1 AS v FROM nn WHERE i <> j")
+def _(s, d):
+    return E.apply(nn(s, d), ops.UnaryOp(lambda v: v + 1), mask=lambda i, j: i == j).df
+
+
+@query("scale", f"WITH {NN} SELECT i, j, v * 3 AS v FROM nn")
+def _(s, d):
+    return E.scale(nn(s, d), 3).df
+
+
+@query("negate", f"WITH {NN} SELECT i, j, -v AS v FROM nn")
+def _(s, d):
+    return E.negative(nn(s, d)).df
+
+
+@query("transpose", f"WITH {SP} SELECT j AS i, i AS j, v FROM sp")
+def _(s, d):
+    return sp(s, d).transpose().df
+
+
+@query("transpose_to_rows", f"WITH {SP} SELECT j AS i, i AS j, v FROM sp")
+def _(s, d):
+    return sp(s, d).transpose_to_rows().df
+
+
+@query("transpose_to_columns", f"WITH {SP} SELECT j AS i, i AS j, v FROM sp")
+def _(s, d):
+    return sp(s, d).transpose_to_columns().df
+
+
+@query("mask_filter", f"WITH {NN} SELECT i, j FROM nn WHERE v - 80 > 0")
+def _(s, d):
+    from loomgraph.operators.matrix import mask_cells
+
+    m = nn(s, d).map(lambda i, j, v: v - 80)
+    return mask_cells(m, m.df, m.keys)
+
+
+def _one(s: SparkSession, **values: bool | int) -> DataFrame:
+    return s.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'int'}" for k, v in values.items()))
+
+
+@query("equal", f"WITH {NN}, d AS (SELECT count(*) AS n FROM nn a FULL JOIN nn b ON a.i = b.j AND a.j = b.i WHERE coalesce(a.v, 0) <> coalesce(b.v, 0)) SELECT true AS itself, n = 0 AS transposed, n <> 0 AS differs FROM d")
+def _(s, d):
+    m = nn(s, d)
+    return _one(s, itself=E.equal(m, m.copy()), transposed=E.equal(m, m.transpose()), differs=E.not_equal(m, m.transpose()))
+
+
+@query("symmetric", "SELECT true AS sum_is, true AS difference_is, false AS skew_sum")
+def _(s, d):
+    m = nn(s, d)
+    return _one(s, sum_is=E.symmetric(E.add(m, m.transpose())), difference_is=E.skew_symmetric(E.subtract(m, m.transpose())), skew_sum=E.skew_symmetric(E.add(m, m.transpose())))
+
+
+@query("rune_string", f"WITH {RUNES} SELECT string_agg(v, '' ORDER BY i, j) AS s FROM runes")
+def _(s, d):
+    return runes.text(rune_matrix(s, d))
+
+
+@query("rune_compare", "SELECT CAST(0 AS INTEGER) AS same, false AS less, false AS greater")
+def _(s, d):
+    m = rune_matrix(s, d)
+    return _one(s, same=runes.compare(m, m), less=runes.less(m, m), greater=runes.greater(m, m))
+
+
+@query("sort_rows", f"WITH {RUNES}, r AS (SELECT i, string_agg(v, '' ORDER BY j) AS s FROM runes GROUP BY i), p AS (SELECT i, row_number() OVER (ORDER BY s, i) - 1 AS k FROM r) SELECT k AS i, j, v FROM runes JOIN p USING (i)")
+def _(s, d):
+    return runes.sort_rows(rune_matrix(s, d)).df
+
+
+@query("sort_columns", f"WITH {RUNES}, r AS (SELECT j, string_agg(v, '' ORDER BY i) AS s FROM runes GROUP BY j), p AS (SELECT j, row_number() OVER (ORDER BY s, j) - 1 AS k FROM r) SELECT i, k AS j, v FROM runes JOIN p USING (j)")
+def _(s, d):
+    return runes.sort_columns(rune_matrix(s, d)).df
+
+
+# ---------------------------------------------------------------- products
+
+
+@query("mxm", f"WITH {SP} SELECT a.i, b.i AS j, CAST(sum(a.v * b.v) AS DOUBLE) AS v FROM sp a JOIN sp b ON a.j = b.j GROUP BY 1, 2")
+def _(s, d):
+    m = sp(s, d)
+    return mxm(m, m.transpose()).df
+
+
+@query("mxm_masked", f"WITH {NN} SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.j = b.i WHERE (a.i, b.j) NOT IN (SELECT i, j FROM nn WHERE v > 90) GROUP BY 1, 2 UNION ALL SELECT i, j, v FROM nn WHERE v > 90")
+def _(s, d):
+    m = nn(s, d)
+    return mxm(m, m, mask=m.df.where("v > 90"), out=m).df
+
+
+@query("mxv", f"WITH {SP} SELECT i, CAST(sum(v * j) AS DOUBLE) AS v FROM sp GROUP BY i HAVING sum(v * j) <> 0")
+def _(s, d):
+    m = sp(s, d)
+    return mxv(m, Vector(s.range(m.ncols).select(F.col("id").alias("i"), F.col("id").cast("double").alias("v")), m.ncols)).df
+
+
+@query("vxm_transposed", f"WITH {SP} SELECT j AS i, CAST(sum(v) AS DOUBLE) AS v FROM sp GROUP BY j")
+def _(s, d):
+    m = sp(s, d)
+    return vxm(ones(m.transpose()), m, transpose=True).df
+
+
+@query("mxv_masked", f"WITH {SP} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM sp WHERE i >= 5 GROUP BY i")
+def _(s, d):
+    m = sp(s, d)
+    return mxv(m, ones(m), mask=lambda i: i < 5).df
+
+
+def _start(m: Matrix, zero: object, dtype: str = "double") -> Vector:
+    return Vector(m.spark.range(3).select(F.col("id").alias("i"), F.col("id").cast(dtype).alias("v")), m.ncols, "sparse", zero)
+
+
+@query("semiring_min_plus", f"WITH {NNS} SELECT i, min(v + j) AS v FROM nns WHERE j < 3 GROUP BY i")
+def _(s, d):
+    m = nns(s, d)
+    return mxv(m, _start(m, algebra.INF), semiring=algebra.min_plus()).df
+
+
+@query("semiring_max_min", f"WITH {NNS} SELECT i, max(least(v, j * 50)) AS v FROM nns WHERE j < 3 GROUP BY i")
+def _(s, d):
+    m = nns(s, d)
+    return mxv(m, _start(m, -algebra.INF).map(lambda i, v: v * 50), semiring=algebra.max_min()).df
+
+
+@query("semiring_plus_times", f"WITH {NN} SELECT i, CAST(sum(v * j) AS BIGINT) AS v FROM nn WHERE j < 3 GROUP BY i")
+def _(s, d):
+    m = nn(s, d)
+    return mxv(m, _start(m, 0, "bigint"), semiring=algebra.plus_times("bigint")).df
+
+
+@query("semiring_integers", f"WITH {NN} SELECT i, min(v + CASE WHEN j < 3 THEN j ELSE 2147483647 END) AS v FROM nn GROUP BY i")
+def _(s, d):
+    m = nn(s, d)
+    return mxv(m, _start(m, 2147483647, "bigint"), semiring=algebra.Semiring(algebra.least("bigint", 1 << 40), ops.addition, annihilates=False)).df
+
+
+@query("semiring_or_and", f"WITH {NNS} SELECT DISTINCT i, true AS v FROM nns WHERE j < 3")
+def _(s, d):
+    m = nns(s, d)
+    reach = Matrix(m.df.select("i", "j", F.lit(True).alias("v")), 25, 25)
+    x = Vector(s.range(3).select(F.col("id").alias("i"), F.lit(True).alias("v")), 25, "sparse", False)
+    return mxv(reach, x, semiring=algebra.or_and()).df
+
+
+@query("strassen", f"WITH {NN} SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.j = b.i GROUP BY 1, 2")
+def _(s, d):
+    m = nn(s, d)
+    return strassen(m, m).df
+
+
+# ---------------------------------------------------------------- cell by cell
+
+
+@query("ewise_mult", f"WITH {NN} SELECT a.i, a.j, a.v FROM nn a JOIN nn b ON a.i = b.j AND a.j = b.i WHERE a.v = b.v")
+def _(s, d):
+    m = nn(s, d)
+    return E.ewise_mult(m, m.transpose()).df
+
+
+@query("ewise_mult_product", f"WITH {NN} SELECT a.i, a.j, a.v * b.v AS v FROM nn a JOIN nn b ON a.i = b.j AND a.j = b.i")
+def _(s, d):
+    m = nn(s, d)
+    return E.ewise_mult(m, m.transpose(), op=ops.multiplication).df
+
+
+@query("ewise_add", f"WITH {NNS}, t AS (SELECT j AS i, i AS j, v FROM nns) SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM nns a FULL JOIN t b ON a.i = b.i AND a.j = b.j")
+def _(s, d):
+    m = nns(s, d)
+    return E.ewise_add(m, m.transpose()).df
+
+
+@query("add", f"WITH {NNS} SELECT i, j, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT * FROM nns UNION ALL SELECT j, i, v FROM nns) GROUP BY 1, 2")
+def _(s, d):
+    m = nns(s, d)
+    return E.add(m, m.transpose()).df
+
+
+@query("subtract", f"WITH {NN} SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM nn UNION ALL SELECT j, i, -v FROM nn) GROUP BY 1, 2 HAVING sum(v) <> 0")
+def _(s, d):
+    m = nn(s, d)
+    return E.subtract(m, m.transpose()).df
+
+
+@query("ewise_least", f"WITH {NN} SELECT a.i, a.j, least(a.v, b.v) AS v FROM nn a JOIN nn b ON a.i = b.j AND a.j = b.i")
+def _(s, d):
+    m = nn(s, d)
+    return E.least(m, m.transpose()).df
+
+
+# ---------------------------------------------------------------- reductions
+
+
+@query("reduce_columns", f"WITH {SP} SELECT p_partkey AS i, greatest(0, coalesce(max(v), 0)) AS v FROM part LEFT JOIN sp ON j = p_partkey GROUP BY 1")
+def _(s, d):
+    return R.to_vector(sp(s, d)).df
+
+
+@query("reduce_columns_monoid", f"WITH {SP} SELECT p_partkey AS i, CAST(coalesce(sum(v), 0) AS DOUBLE) AS v FROM part LEFT JOIN sp ON j = p_partkey AND sp.i >= 5 GROUP BY 1")
+def _(s, d):
+    return R.to_vector(sp(s, d), algebra.plus(), mask=lambda i: i < 5).df
+
+
+@query("reduce_scalar", f"WITH {SP} SELECT CAST(sum(v) AS DOUBLE) AS v FROM sp")
+def _(s, d):
+    return R.to_scalar(sp(s, d))
+
+
+@query("reduce_scalar_monoid", f"WITH {NN} SELECT CAST(min(v) AS BIGINT) AS v FROM nn WHERE i <> j")
+def _(s, d):
+    return R.to_scalar(nn(s, d), algebra.least("bigint", 1 << 40), mask=lambda i, j: i == j)
+
+
+@query("reduce_vector", f"WITH {SP} SELECT CAST(sum(v) AS DOUBLE) AS v FROM sp WHERE i = 5")
+def _(s, d):
+    return R.to_scalar(sp(s, d).row(5))
+
+
+@query("reduce_custom", f"WITH {NN} SELECT CAST(sum(v * CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS v FROM (SELECT v, row_number() OVER (ORDER BY i, j) + (SELECT count(*) FROM nn) AS k FROM nn)")
+def _(s, d):
+    # a fold that depends on the order: v - accumulated; from 0 over an odd count the signs alternate, the last being plus
+    folded = algebra.Monoid(0, ops.BinaryOp(lambda acc, v: v - acc), None, "bigint")
+    return R.to_scalar(nn(s, d), folded)
+
+
+@query("monoid_reduce", f"WITH {NN} SELECT i, CAST(sum(v) AS BIGINT) AS v FROM nn GROUP BY i")
+def _(s, d):
+    rows = nn(s, d).df.groupBy("i").agg(F.collect_list("v").alias("a"))
+    return rows.select("i", algebra.plus("bigint").reduce(F.col("a")).alias("v"))
+
+
+@query("row_sums", f"WITH {SP} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM sp GROUP BY i")
+def _(s, d):
+    return R.row_sums(sp(s, d)).df
+
+
+@query("row_largest", f"WITH {SP} SELECT i, max(v) AS v FROM sp GROUP BY i")
+def _(s, d):
+    return R.row_largest(sp(s, d)).df
+
+
+@query("row_argmax", f"WITH {NN} SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS nth FROM nn) WHERE nth = 1")
+def _(s, d):
+    return R.row_argmax(nn(s, d))
+
+
+@query("dot", f"WITH {SP} SELECT CAST(coalesce(sum(a.v * b.v), 0) AS DOUBLE) AS v FROM sp a JOIN sp b ON a.i = 5 AND b.i = 6 AND a.j = b.j")
+def _(s, d):
+    m = sp(s, d)
+    return R.dot(m.row(5), m.row(6))
+
+
+@query("change", f"WITH {NN} SELECT CAST(sum(abs(a.v - b.v)) AS DOUBLE) AS total, CAST(max(abs(a.v - b.v)) AS DOUBLE) AS largest FROM nn a JOIN nn b ON a.i = b.j AND a.j = b.i")
+def _(s, d):
+    m = nn(s, d).map(lambda i, j, v: v.cast("double"))
+    total, largest = R.change(m, m.transpose())
+    return s.createDataFrame([(total, largest)], "total double, largest double")
+
+
+# ---------------------------------------------------------------- scalar operators
+
+_LINES = "SELECT l_orderkey, l_linenumber, "
+
+
+def _lines(s: SparkSession, d: str, **columns) -> DataFrame:
+    return _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in columns.items()))
+
+
+@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS s, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem WHERE l_orderkey >= 100")
+def _(s, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    out = dict(a=ops.addition(q, n), s=ops.subtraction(q, n), m=ops.multiplication(q, n), d=F.round(ops.division(q, n), 6), di=ops.integer_division(F.col("l_orderkey") - 100, n.cast("long")), mi=ops.minimum(q, n * 10), ma=ops.maximum(q, n * 10), f=ops.first_argument(q, n), g=ops.second_argument(q, n))
+    return _lines(s, d, **out).where("l_orderkey >= 100")
+
+
+@query("scalar_comparison", _LINES + "l_quantity = l_linenumber AS eq, l_quantity <> l_linenumber AS ne, l_quantity > l_linenumber AS gt, l_quantity < l_linenumber AS lt, l_quantity >= l_linenumber AS ge, l_quantity <= l_linenumber AS le FROM lineitem")
+def _(s, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    return _lines(s, d, eq=ops.equal(q, n), ne=ops.not_equal(q, n), gt=ops.greater_than(q, n), lt=ops.less_than(q, n), ge=ops.greater_than_or_equal(q, n), le=ops.less_than_or_equal(q, n))
+
+
+@query("scalar_boolean", _LINES + "(l_quantity > 25) OR (l_linenumber > 2) AS o, (l_quantity > 25) AND (l_linenumber > 2) AS a, (l_quantity > 25) <> (l_linenumber > 2) AS x, NOT (l_quantity > 25) AS n FROM lineitem")
+def _(s, d):
+    p, q = F.col("l_quantity") > 25, F.col("l_linenumber") > 2
+    return _lines(s, d, o=ops.logical_or(p, q), a=ops.logical_and(p, q), x=ops.logical_xor(p, q), n=ops.logical_inverse(p))
+
+
+@query("scalar_functions", _LINES + "round(pow(l_quantity, 1.5), 4) AS p, abs(l_quantity - 25) AS b, round(sqrt(l_quantity), 6) AS r, l_quantity - 1 = 0 AS z FROM lineitem")
+def _(s, d):
+    q = F.col("l_quantity")
+    return _lines(s, d, p=F.round(ops.power(1.5)(q), 4), b=ops.absolute(q - 25), r=F.round(ops.square_root(q), 6), z=ops.is_zero(q - 1, "double"))
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def _reach(graph: str, name: str, start: int) -> str:
+    return f"WITH RECURSIVE {graph}, r(i, level) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS BIGINT) UNION SELECT g.j, r.level + 1 FROM r JOIN {name} g ON g.i = r.i WHERE r.level < 25) SELECT i, min(level) AS level FROM r GROUP BY i"
+
+
+@query("bfs_levels", _reach(NNS, "nns", 0))
+def _(s, d):
+    return traversal.levels(nns(s, d), 0)
+
+
+@query("bfs_search", f"WITH {NNS}, one AS (SELECT DISTINCT i FROM nns WHERE j = 0 AND i <> 0), two AS (SELECT n.i, CAST(count(*) AS DOUBLE) AS c FROM nns n JOIN nns f ON n.j = f.i AND f.j = 0 WHERE n.i <> 0 AND n.i NOT IN (SELECT i FROM one) AND f.i <> 0 GROUP BY n.i) SELECT n.i, CAST(sum(n.v * f.v) AS DOUBLE) AS v FROM nns n JOIN nns f ON n.j = f.i AND f.j = 0 JOIN two USING (i) GROUP BY n.i")
+def _(s, d):
+    rounds = []
+    return traversal.search(nns(s, d), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
+
+
+def _distances(graph: str, name: str, start: int, rounds: int) -> str:
+    steps = [f"d0(i, d) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS DOUBLE))"]
+    steps += [f"d{k}(i, d) AS (SELECT i, min(d) FROM (SELECT i, d FROM d{k - 1} UNION ALL SELECT g.j, p.d + g.v FROM d{k - 1} p JOIN {name} g ON g.i = p.i) GROUP BY i)" for k in range(1, rounds + 1)]
+    return f"WITH {graph}, {', '.join(steps)} SELECT i, d AS v FROM d{rounds}"
+
+
+@query("sssp", _distances(NNS, "nns", 0, 24))
+def _(s, d):
+    return traversal.single_source(nns(s, d), 0).df
+
+
+@query("between", f"WITH d AS ({_distances(NNS, 'nns', 0, 24)}) SELECT CAST(t AS BIGINT) AS target, CASE WHEN t = 0 THEN 0 ELSE v END AS distance FROM (SELECT unnest([0, 7, 13]) AS t) LEFT JOIN d ON i = t")
+def _(s, d):
+    m = nns(s, d)
+    found = [(t, traversal.between(m, 0, t)[0]) for t in (0, 7, 13)]
+    return s.createDataFrame([(t, None if x == float("inf") else x) for t, x in found], "target long, distance double")
+
+
+@query("components", f"WITH RECURSIVE {NNS}, e AS (SELECT i, j FROM nns WHERE i % 3 = j % 3 UNION SELECT j, i FROM nns WHERE i % 3 = j % 3), r(i, j) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT) FROM (SELECT unnest(range(25)) AS k) UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j) SELECT i AS vertex, min(j) AS label FROM r GROUP BY i")
+def _(s, d):
+    return clustering.components(nns(s, d).df.where("i % 3 = j % 3"), 25)
+
+
+def _ranks(rounds: int) -> str:
+    steps = ["n AS (SELECT max(user_id) + 1 AS n FROM events)", "o AS (SELECT i, sum(v) AS t FROM uu GROUP BY i)", "v AS (SELECT unnest(range(n)) AS i FROM n)", "r0 AS (SELECT i, 1.0 / n AS r FROM v, n)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"l{k} AS (SELECT coalesce(sum(r), 0) AS l FROM r{k - 1} WHERE i NOT IN (SELECT i FROM o))")
+        steps.append(f"g{k} AS (SELECT uu.j AS i, sum(r * uu.v / t) AS g FROM uu JOIN r{k - 1} ON r{k - 1}.i = uu.i JOIN o ON o.i = uu.i GROUP BY 1)")
+        steps.append(f"r{k} AS (SELECT v.i, 0.85 * coalesce(g, 0) + 0.15 / n + 0.85 * l / n AS r FROM v CROSS JOIN n CROSS JOIN l{k} LEFT JOIN g{k} ON g{k}.i = v.i)")
+    return f"WITH {UU}, {', '.join(steps)} SELECT i, round(CAST(r AS DOUBLE), 8) AS v FROM r{rounds}"
+
+
+@query("pagerank", _ranks(10))
+def _(s, d):
+    return centrality.pagerank(uu(s, d), tolerance=-1, rounds=10).df.select("i", F.round("v", 8).alias("v"))
+
+
+@query("pagerank_converged")
+def _(s, d):
+    return centrality.pagerank(uu(s, d)).df
+
+
+@query("betweenness")
+def _(s, d):
+    return centrality.betweenness(nns(s, d)).df.select("i", F.round("v", 6).alias("v"))
+
+
+@query("betweenness_sources")
+def _(s, d):
+    return centrality.betweenness(nns(s, d), [0, 3, 3], batch=2).df.select("i", F.round("v", 6).alias("v"))
+
+
+def _closeness(rounds: int) -> str:
+    steps = ["d0(s, v, d) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT), CAST(0 AS DOUBLE) FROM (SELECT unnest(range(25)) AS k))"]
+    steps += [f"d{k}(s, v, d) AS (SELECT s, v, min(d) FROM (SELECT s, v, d FROM d{k - 1} UNION ALL SELECT p.s, g.j, p.d + g.v FROM d{k - 1} p JOIN nns g ON g.i = p.v) GROUP BY 1, 2)" for k in range(1, rounds + 1)]
+    return f"WITH {NNS}, {', '.join(steps)} SELECT CAST(k AS BIGINT) AS i, round(coalesce(max(r / t * r / 24), 0), 8) AS v FROM (SELECT unnest(range(25)) AS k) LEFT JOIN (SELECT s, CAST(count(*) AS DOUBLE) AS r, sum(d) AS t FROM d{rounds} WHERE s <> v GROUP BY s) ON s = k GROUP BY k"
+
+
+@query("closeness", _closeness(24))
+def _(s, d):
+    return centrality.closeness(nns(s, d)).df.select("i", F.round("v", 8).alias("v"))
+
+
+@query("all_pairs", _closeness(24).split(" SELECT CAST(k AS BIGINT) AS i, round")[0] + " SELECT s AS source, v, d FROM d24")
+def _(s, d):
+    return traversal.all_pairs(nns(s, d))
+
+
+@query("symmetrized", f"WITH {NNS} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT i, v FROM nns UNION ALL SELECT j, v FROM nns) GROUP BY i")
+def _(s, d):
+    return clustering.symmetrized(nns(s, d))[1].df
+
+
+@query("markov_flow", f"""WITH {NNS}, w AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM nns UNION ALL SELECT j, i, v FROM nns) GROUP BY 1, 2),
+l AS (SELECT * FROM w UNION ALL SELECT i, i, max(v) FROM w GROUP BY i), m AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM l),
+x AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY 1, 2), p AS (SELECT i, j, v * v AS p, sum(v * v) OVER (PARTITION BY i) AS t, max(v * v) OVER (PARTITION BY i) AS h FROM x),
+k AS (SELECT * FROM p WHERE p = h OR p / t >= 1e-5) SELECT i, j, round(p / sum(p) OVER (PARTITION BY i), 8) AS v FROM k""")
+def _(s, d):
+    return clustering.flow(nns(s, d), 2, 1).df.select("i", "j", F.round("v", 8).alias("v"))
+
+
+@query("markov")
+def _(s, d):
+    return clustering.markov(nns(s, d))
+
+
+@query("peer_pressure")
+def _(s, d):
+    return clustering.peer_pressure(nns(s, d))
+
+
+@query("groups", f"WITH {NNS} SELECT i % 4 AS label, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS members FROM (SELECT DISTINCT i FROM nns) GROUP BY 1")
+def _(s, d):
+    labels = nns(s, d).df.select(F.col("i").alias("vertex"), (F.col("i") % 4).alias("label")).distinct()
+    return clustering.groups(labels).select("label", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("canonical", f"WITH {NNS}, l AS (SELECT DISTINCT i AS vertex, (i * 7) % 5 AS label FROM nns), f AS (SELECT label, row_number() OVER (ORDER BY min(vertex)) - 1 AS k FROM l GROUP BY label) SELECT vertex, k AS label FROM l JOIN f USING (label)")
+def _(s, d):
+    return clustering.canonical(nns(s, d).df.select(F.col("i").alias("vertex"), (F.col("i") * 7 % 5).alias("label")).distinct())
+
+
+@query("local_cluster")
+def _(s, d):
+    return clustering.local(nns(s, d), 0)
+
+
+@query("spectral")
+def _(s, d):
+    return clustering.spectral(nns(s, d), 3)
+
+
+@query("row_reduction", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 0, 1), (0, 1, 0), (0, 2, 0), (0, 3, -8), (1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 1), (2, 0, 0), (2, 1, 0), (2, 2, 1), (2, 3, -2)) t(i, j, v)")
+def _(s, d):
+    m = builders.from_array(s, [[1.0, 2.0, -1.0, -4.0], [2.0, 3.0, -1.0, -11.0], [-2.0, 0.0, -3.0, 22.0]], layout="dense")
+    return reduced(m).df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
