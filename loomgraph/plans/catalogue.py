@@ -305,15 +305,15 @@ def _start(m: Matrix, zero: object, dtype: str = "double") -> Vector:
     return Vector(m.spark.range(3).select(F.col("id").alias("i"), F.col("id").cast(dtype).alias("v")), m.ncols, "sparse", zero)
 
 
-@query("semiring_min_plus", f"WITH {NNS} SELECT i, min(v + j) AS v FROM nns WHERE j < 3 GROUP BY i")
+@query("semiring_min_plus", f"WITH {NNS} SELECT j AS i, min(v + i) AS v FROM nns WHERE i < 3 GROUP BY j")
 def _(s, d):
-    m = nns(s, d)
+    m = nns(s, d).transpose()
     return mxv(m, _start(m, algebra.INF), semiring=algebra.min_plus()).df
 
 
-@query("semiring_max_min", f"WITH {NNS} SELECT i, max(least(v, j * 50)) AS v FROM nns WHERE j < 3 GROUP BY i")
+@query("semiring_max_min", f"WITH {NNS} SELECT j AS i, max(least(v, i * 50)) AS v FROM nns WHERE i < 3 GROUP BY j")
 def _(s, d):
-    m = nns(s, d)
+    m = nns(s, d).transpose()
     return mxv(m, _start(m, -algebra.INF).map(lambda i, v: v * 50), semiring=algebra.max_min()).df
 
 
@@ -329,9 +329,9 @@ def _(s, d):
     return mxv(m, _start(m, 2147483647, "bigint"), semiring=algebra.Semiring(algebra.least("bigint", 1 << 40), ops.addition, annihilates=False)).df
 
 
-@query("semiring_or_and", f"WITH {NNS} SELECT DISTINCT i, true AS v FROM nns WHERE j < 3")
+@query("semiring_or_and", f"WITH {NNS} SELECT DISTINCT j AS i, true AS v FROM nns WHERE i < 3")
 def _(s, d):
-    m = nns(s, d)
+    m = nns(s, d).transpose()
     reach = Matrix(m.df.select("i", "j", F.lit(True).alias("v")), 25, 25)
     x = Vector(s.range(3).select(F.col("id").alias("i"), F.lit(True).alias("v")), 25, "sparse", False)
     return mxv(reach, x, semiring=algebra.or_and()).df
@@ -410,7 +410,7 @@ def _(s, d):
     return R.to_scalar(sp(s, d).row(5))
 
 
-@query("reduce_custom", f"WITH {NN} SELECT CAST(sum(v * CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS v FROM (SELECT v, row_number() OVER (ORDER BY i, j) + (SELECT count(*) FROM nn) AS k FROM nn)")
+@query("reduce_custom", f"WITH {NN} SELECT CAST(sum(v * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS v FROM (SELECT v, row_number() OVER (ORDER BY i, j) + (SELECT count(*) FROM nn) AS k FROM nn)")
 def _(s, d):
     # a fold that depends on the order: v - accumulated; from 0 over an odd count the signs alternate, the last being plus
     folded = algebra.Monoid(0, ops.BinaryOp(lambda acc, v: v - acc), None, "bigint")
@@ -460,10 +460,10 @@ def _lines(s: SparkSession, d: str, **columns) -> DataFrame:
     return _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in columns.items()))
 
 
-@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS s, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem WHERE l_orderkey >= 100")
+@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS sb, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem WHERE l_orderkey >= 100")
 def _(s, d):
     q, n = F.col("l_quantity"), F.col("l_linenumber")
-    out = dict(a=ops.addition(q, n), s=ops.subtraction(q, n), m=ops.multiplication(q, n), d=F.round(ops.division(q, n), 6), di=ops.integer_division(F.col("l_orderkey") - 100, n.cast("long")), mi=ops.minimum(q, n * 10), ma=ops.maximum(q, n * 10), f=ops.first_argument(q, n), g=ops.second_argument(q, n))
+    out = dict(a=ops.addition(q, n), sb=ops.subtraction(q, n), m=ops.multiplication(q, n), d=F.round(ops.division(q, n), 6), di=ops.integer_division(F.col("l_orderkey") - 100, n.cast("long")), mi=ops.minimum(q, n * 10), ma=ops.maximum(q, n * 10), f=ops.first_argument(q, n), g=ops.second_argument(q, n))
     return _lines(s, d, **out).where("l_orderkey >= 100")
 
 
@@ -497,10 +497,14 @@ def _(s, d):
     return traversal.levels(nns(s, d), 0)
 
 
-@query("bfs_search", f"WITH {NNS}, one AS (SELECT DISTINCT i FROM nns WHERE j = 0 AND i <> 0), two AS (SELECT n.i, CAST(count(*) AS DOUBLE) AS c FROM nns n JOIN nns f ON n.j = f.i AND f.j = 0 WHERE n.i <> 0 AND n.i NOT IN (SELECT i FROM one) AND f.i <> 0 GROUP BY n.i) SELECT n.i, CAST(sum(n.v * f.v) AS DOUBLE) AS v FROM nns n JOIN nns f ON n.j = f.i AND f.j = 0 JOIN two USING (i) GROUP BY n.i")
+@query(
+    "bfs_search",
+    f"""WITH {NNS}, f1 AS (SELECT j AS i, CAST(sum(v) AS DOUBLE) AS v FROM nns WHERE i = 0 AND j <> 0 GROUP BY j)
+SELECT n.j AS i, CAST(sum(n.v * f1.v) AS DOUBLE) AS v FROM nns n JOIN f1 ON f1.i = n.i WHERE n.j <> 0 AND n.j NOT IN (SELECT i FROM f1) GROUP BY n.j""",
+)
 def _(s, d):
     rounds = []
-    return traversal.search(nns(s, d), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
+    return traversal.search(nns(s, d).transpose(), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
 
 
 def _distances(graph: str, name: str, start: int, rounds: int) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ops import FLOATS
 from loomgraph.operators.matrix import Matrix, Vector
 
 
@@ -20,19 +21,23 @@ def from_edges(edges: DataFrame, nrows: int, ncols: int, source: str = "from", t
     return Matrix(total, nrows, ncols)
 
 
+def _kind(values: list, dtype: str) -> list:
+    return [float(x) for x in values] if dtype in FLOATS else list(values)
+
+
 def from_array(spark: SparkSession, values: list[list], dtype: str = "double", layout: str = "sparse") -> Matrix:
     """A matrix from rows of values."""
     nrows, ncols = len(values), len(values[0]) if values else 0
     if any(len(r) != ncols for r in values):
         raise ValueError("rows differ in length")
-    df = spark.createDataFrame([(i, list(r)) for i, r in enumerate(values)], f"i long, r array<{dtype}>")
+    df = spark.createDataFrame([(i, _kind(r, dtype)) for i, r in enumerate(values)], f"i long, r array<{dtype}>")
     cells = df.select("i", F.posexplode("r").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
     out = Matrix(cells, nrows, ncols, "dense")
     return out if layout == "dense" else out.sparse()
 
 
 def vector_from_array(spark: SparkSession, values: list, dtype: str = "double", layout: str = "sparse") -> Vector:
-    df = spark.createDataFrame([(list(values),)], f"r array<{dtype}>").select(F.posexplode("r").alias("i", "v")).select(F.col("i").cast("long").alias("i"), "v")
+    df = spark.createDataFrame([(_kind(values, dtype),)], f"r array<{dtype}>").select(F.posexplode("r").alias("i", "v")).select(F.col("i").cast("long").alias("i"), "v")
     out = Vector(df, len(values), "dense")
     return out if layout == "dense" else out.sparse()
 
