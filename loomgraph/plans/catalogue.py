@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -456,7 +456,7 @@ def _(s, d):
 _LINES = "SELECT l_orderkey, l_linenumber, "
 
 
-def _lines(s: SparkSession, d: str, **columns) -> DataFrame:
+def _lines(s: SparkSession, d: str, /, **columns: Column) -> DataFrame:
     return _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in columns.items()))
 
 
