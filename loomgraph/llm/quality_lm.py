@@ -164,8 +164,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 class Model:
     """A finished table, small enough to be sent; dense() makes the array of negative log probabilities that a worker keeps."""
 
-    def __init__(self, rows: "list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]"):
-        self.key, self.rows = uuid.uuid4().hex, rows
+    def __init__(self, rows: "list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]", key: str | None = None):
+        self.key, self.rows = key or uuid.uuid4().hex, rows
 
     @staticmethod
     def of(found: DataFrame, order: int = ORDER) -> "Model":
@@ -210,10 +210,10 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with __figure and __error."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.key))  # arrays only
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             got = [model.figure(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=[*batch.schema.names[:-1], "__figure", "__error"])

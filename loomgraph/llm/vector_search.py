@@ -18,7 +18,6 @@ Ties go to the smaller vec_id. Components must stay within +-2^20 after scaling,
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,6 +34,8 @@ BITS = 2
 CELL_BLOCK = 16384
 QUERY_BLOCK = 2048
 LIMIT = 1 << 20
+#: All query blocks together are sent to every task up to so many bytes; beyond that both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def integers(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -115,6 +116,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
     blocks = written(_packed(asked.select(F.col("query").alias("vec_id"), "v").coalesce(_blocks(asked, query_block)), query_block, None), "blocks")
     blocks = blocks.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_data"))
     # The stated query set against all rows, a block of each at a time.
+    if (blocks.agg(F.sum(F.octet_length("q_data") + F.octet_length("q_ids"))).first()[0] or 0) <= BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
     found = written(_candidates(cells.join(blocks, "dim"), k + 1, bits), "bounds")
 
     best = W.partitionBy("query").orderBy(F.desc("low"))
