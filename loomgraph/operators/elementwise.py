@@ -22,6 +22,12 @@ def apply(a: Table, function: UnaryOp, mask=None, out: Table | None = None) -> T
     return written_with(a._settled(a.df.withColumn("v", function(F.col("v")))), mask, out)
 
 
+def assign(a: Table, value, mask=None) -> Table:
+    """value in every cell that isn't masked; masked cells keep theirs."""
+    full = a.dense()
+    return written_with(full._settled(full.df.withColumn("v", F.lit(value).cast(a.dtype))), mask, full)
+
+
 def scale(a: Table, factor) -> Table:
     return a._settled(a.df.withColumn("v", (F.col("v") * F.lit(factor)).cast(a.dtype)))
 

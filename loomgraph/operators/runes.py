@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.matrix import Matrix
+from loomgraph.operators.ordering import numbered
 
 
 def text(m: Matrix) -> DataFrame:
@@ -31,7 +31,7 @@ def greater(a: Matrix, b: Matrix) -> bool:
 def sort_rows(m: Matrix) -> Matrix:
     """Rows in the order of their texts; equal ones stay in order."""
     rows = m.df.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]), "").alias("s"))
-    place = rows.select("i", (F.row_number().over(W.orderBy("s", "i")) - 1).cast("long").alias("to"))
+    place = numbered(rows, "s", "i", name="to").drop("s")
     return Matrix(m.df.join(place, "i").select(F.col("to").alias("i"), "j", "v"), m.nrows, m.ncols, m.layout)
 
 

@@ -198,6 +198,11 @@ def _(s, d):
     return E.apply(nn(s, d), ops.UnaryOp(lambda v: v + 1), mask=lambda i, j: i == j).df
 
 
+@query("assign_constant", f"WITH {NNS}, g AS (SELECT a.k AS i, b.k AS j FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b) SELECT g.i, g.j, CASE WHEN g.i < g.j THEN 5 ELSE coalesce(v, 0) END AS v FROM g LEFT JOIN nns USING (i, j)")
+def _(s, d):
+    return E.assign(nns(s, d), 5, mask=lambda i, j: i >= j).df
+
+
 @query("scale", f"WITH {NN} SELECT i, j, v * 3 AS v FROM nn")
 def _(s, d):
     return E.scale(nn(s, d), 3).df
