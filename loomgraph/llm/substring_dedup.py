@@ -196,4 +196,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_substring_dedup": r"""
+WITH w AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), k AS (
+    SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50
+), h AS (
+    SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM k
+), f AS (
+    SELECT g, min(doc_id) AS first FROM h GROUP BY g
+), gone AS (
+    SELECT DISTINCT doc_id, i + j AS p FROM h JOIN f USING (g), (SELECT unnest(range(50)) AS j) WHERE first < doc_id
+), words AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS c FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+}
