@@ -29,7 +29,7 @@ SCALE = 64
 K = 20
 EVERY = 20
 #: Cells are 2^BITS integers wide.
-BITS = 2
+BITS = 1
 #: Vectors in a block of cells, and queries in a block.
 CELL_BLOCK = 16384
 QUERY_BLOCK = 2048
