@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import table, worker_cache
 
 BANDS = ((1, 5), (6, 63))
 FACTORS = ((2, 2), (1, 1), (1, 1))
@@ -38,8 +38,12 @@ LONGEST_RUN = 32767
 
 def zigzag() -> np.ndarray:
     """Place in the 8 x 8 block of each coefficient in coded order."""
+    kept = worker_cache()
+    if "zigzag" in kept:
+        return kept["zigzag"]
     cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[1] if (x[0] + x[1]) % 2 == 0 else x[0]))
-    return np.array([8 * r + c for r, c in cells])
+    kept["zigzag"] = np.array([8 * r + c for r, c in cells])
+    return kept["zigzag"]
 
 
 def mcu_order(wide: int, high: int, factors: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
@@ -70,6 +74,13 @@ def _scan(parts: list[tuple[int, int]], first: int, last: int, high: int, low: i
     return _segment(0xDA, bytes([len(parts)]) + b"".join(bytes(p) for p in parts) + bytes([first, last, high << 4 | low])) + data
 
 
+def _tables() -> bytes:
+    kept = worker_cache()
+    if "jpeg_tables" not in kept:
+        kept["jpeg_tables"] = _table(0, 0, [(1, 0)]) + _table(1, 0, [(1, 7)]) + _table(1, 1, [(4, r << 4) for r in range(15)])
+    return kept["jpeg_tables"]
+
+
 def encode(payload: bytes) -> bytes:
     """The file of a payload; its length must be a positive multiple of 64."""
     if not payload or len(payload) % 64:
@@ -87,8 +98,7 @@ def encode(payload: bytes) -> bytes:
 
     head = b"\xff\xd8" + _segment(0xE0, b"JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00") + _segment(0xFE, b"bytes=%d" % len(payload)) + _segment(0xDB, bytes([0]) + bytes([1] * 64))
     head += _segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(FACTORS)))
-    head += _table(0, 0, [(1, 0)]) + _table(1, 0, [(1, 7)]) + _table(1, 1, [(4, r << 4) for r in range(15)])
-    out = [head]
+    out = [head, _tables()]
 
     order = mcu_order(wide, high, FACTORS)
     dc = np.concatenate([p[:, 0][o] for p, o in zip(planes, order, strict=True)], axis=1).reshape(-1)
@@ -138,6 +148,7 @@ class Component:
     v: int
     quantiser: int
     blocks: np.ndarray = field(default=None)
+    dc: np.ndarray = field(default=None)  # while its bits come in
     across: int = 0
 
 
@@ -150,6 +161,7 @@ class Reader:
         self.tables: dict[tuple[int, int], Huffman] = {}
         self.parts: list[Component] = []
         self.comment = b""
+        self.orders: dict[tuple[int, ...], list[np.ndarray]] = {}
         at = 2
         while data[at + 1] != 0xD9:
             marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
@@ -177,6 +189,9 @@ class Reader:
                     end = data.index(b"\xff", end if data[end] != 0xFF else end + 1)
                 self._scan(body, data[at:end].replace(b"\xff\x00", b"\xff"))
                 at = end
+        for p in self.parts:
+            if p.dc is not None:
+                p.blocks[:, 0] = p.dc
 
     def _frame(self, body: bytes) -> None:
         _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
@@ -194,42 +209,50 @@ class Reader:
         first, last, approx = body[1 + 2 * n : 4 + 2 * n]
         high, low = approx >> 4, approx & 15
         parts = [(next(p for p in self.parts if p.number == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(n)]
-        bits = np.unpackbits(np.frombuffer(data, np.uint8))
         if first == 0:
-            order = mcu_order(self.wide, self.high, tuple((p.h, p.v) for p, _ in parts)) if n > 1 else [np.arange(len(parts[0][0].blocks))[:, None]]
-            (self._dc_bits if high else self._dc)(parts, order, low, bits)
+            key = tuple(p.number for p, _ in parts)
+            if key not in self.orders:
+                self.orders[key] = mcu_order(self.wide, self.high, tuple((p.h, p.v) for p, _ in parts)) if n > 1 else [np.arange(len(parts[0][0].blocks))[:, None]]
+            (self._dc_bits if high else self._dc)(parts, self.orders[key], low, data)
         elif high == 0:
-            self._ac(parts[0][0], self.tables[1, parts[0][1] & 15], first, last, low, bits)
+            self._ac(parts[0][0], self.tables[1, parts[0][1] & 15], first, last, low, data)
         else:
-            self._ac_bits(parts[0][0], self.tables[1, parts[0][1] & 15], first, last, low, bits)
+            self._ac_bits(parts[0][0], self.tables[1, parts[0][1] & 15], first, last, low, data)
 
-    def _dc_bits(self, parts, order, low: int, bits: np.ndarray) -> None:
+    def _dc_bits(self, parts, order, low: int, data: bytes) -> None:
         widths = [o.shape[1] for o in order]
-        found = bits[: len(order[0]) * sum(widths)].reshape(len(order[0]), -1)
-        for (p, _), o, at in zip(parts, order, np.cumsum([0, *widths]), strict=False):
-            p.blocks[o, 0] |= found[:, at : at + o.shape[1]].astype(np.int16) << low
-
-    def _dc(self, parts, order, low: int, bits: np.ndarray) -> None:
+        found = _unpacked(data)[: len(order[0]) * sum(widths)].reshape(len(order[0]), -1)
+        at = 0
+        for (p, _), o in zip(parts, order, strict=True):
+            if p.dc is None:
+                p.dc = p.blocks[:, 0].copy()
+            p.dc[o] |= found[:, at : at + o.shape[1]].astype(np.int16) << low
+            at += o.shape[1]
+
+    def _dc(self, parts, order, low: int, data: bytes) -> None:
         tables = [self.tables[0, t >> 4] for _, t in parts]
         if not self.plain and all(t.only() == 0 for t in tables):
             return  # no difference anywhere
-        read, before = _Bits(bits), [0] * len(parts)
+        read, before = _Bits(_unpacked(data)), [0] * len(parts)
         for m in range(len(order[0])):
             for k, (p, _) in enumerate(parts):
                 for block in order[k][m]:
                     before[k] += read.signed(read.symbol(tables[k]))
                     p.blocks[block, 0] = before[k] << low
 
-    def _ac(self, p: Component, table: Huffman, first: int, last: int, low: int, bits: np.ndarray) -> None:
+    def _ac(self, p: Component, table: Huffman, first: int, last: int, low: int, data: bytes) -> None:
         size = table.only()
         if not self.plain and size is not None and 0 < size < 16:  # no zeros, one size: a bit and size bits each
             n = last - first + 1
-            found = bits[: len(p.blocks) * n * (size + 1)].reshape(-1, size + 1)[:, 1:]
-            value = found.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
-            value = np.where(found[:, 0] == 1, value, value - (1 << size) + 1)
-            p.blocks[:, first : last + 1] = (value << low if low == 0 else np.sign(value) * (np.abs(value) << low)).reshape(-1, n)
+            if size == 7:  # a byte each
+                value = np.frombuffer(data, np.uint8, len(p.blocks) * n).astype(np.int16)
+            else:
+                found = _unpacked(data)[: len(p.blocks) * n * (size + 1)].reshape(-1, size + 1)
+                value = (found.astype(np.int32) @ (1 << np.arange(size, -1, -1))).astype(np.int16)
+            value = np.where(value >= 1 << (size - 1), value << low, -((((1 << size) - 1) - value) << low))
+            p.blocks[:, first : last + 1] = value.reshape(-1, n)
             return
-        read, run = _Bits(bits), 0
+        read, run = _Bits(_unpacked(data)), 0
         for block in p.blocks:
             if run:
                 run -= 1
@@ -247,8 +270,8 @@ class Reader:
                     run = (1 << r) + read.number(r) - 1
                     break
 
-    def _ac_bits(self, p: Component, table: Huffman, first: int, last: int, low: int, bits: np.ndarray) -> None:
-        read, one, at = _Bits(bits), 1 << low, 0
+    def _ac_bits(self, p: Component, table: Huffman, first: int, last: int, low: int, data: bytes) -> None:
+        read, one, at = _Bits(_unpacked(data)), 1 << low, 0
         part = p.blocks[:, first : last + 1]
         if not self.plain and (part != 0).all():  # nothing new can come: ends of bands, and a bit for each coefficient
             while at < len(part):
@@ -320,6 +343,10 @@ class Reader:
         return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8))
+
+
 class _Bits:
     def __init__(self, bits: np.ndarray):
         self.bits, self.at = bits, 0
