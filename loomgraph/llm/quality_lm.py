@@ -1,15 +1,16 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of symbol n-grams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Symbols. Characters fall into SYMBOLS classes (small letters by themselves, others in groups; white space before a word that
-repeats the one before it is a class of its own), so that the model has at most SYMBOLS ** ORDER entries however large the
-corpus is, and needs no list of words.
+Symbols. Every code point is a symbol of its own, whatever its script; white space before a word that repeats the one before
+it is one more. An n-gram is its context (the symbols before, BITS bits each, exact) and its last symbol.
 
-Training. Every trusted document is counted (labels: quality 1 and never 0). Each task sends the sums of its n-grams; counts
-of all orders, their contexts' sums and the lower orders' continuation counts are tables that are joined on the n-gram, its
-context and its suffix, spread by hash. Discounts come from the counts of counts of each order.
+Training. Every trusted document is counted (labels: quality 1 and never 0). Each task sends sums of its n-grams; counts of
+all orders, their contexts' sums and the lower orders' continuation counts are tables that grow with the text, spread by
+hash. Discounts come from the counts of counts of each order.
 
-Scoring. The finished table is bounded (see above), so each task looks its documents' n-grams up in its own copy, and texts
-are never shuffled. A document's figure is the mean negative log probability of its symbols; perplexity is its exponential.
+Scoring. The probabilities of all n-grams of the corpus, seen in trusted text or not, come from joins with these tables on
+n-gram, context and suffix, a level at a time. Every document's distinct n-grams, with their numbers, are joined to that
+table and summed up by document. A document's figure is the mean negative log probability of its symbols; perplexity is its
+exponential.
 
 Thresholds. Per language, the QUANTILE of the figure over trusted documents times MARGIN; languages with fewer than
 FEWEST trusted documents, and null ones, use that over all trusted documents. A document is rejected if its figure, less
@@ -18,6 +19,8 @@ ERRORS standard errors (short texts vary), is above the threshold.
 Defined cases: a null or empty text has no perplexity and is kept, since there is nothing against it. Without any trusted
 document everything is kept. Null and repeated ids are rows like others; ids in labels that are null count for nothing, and
 conflicting labels mean not trusted. Extra columns stay in filter_documents(), whatever their names.
+
+train() and Model are the same estimate over SYMBOLS classes of characters, as a dense array; the query doesn't use them.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import wordhash as H
@@ -38,11 +41,14 @@ from loomgraph.llm.common import table, worker_cache, written
 ORDER = 4
 SYMBOLS = 51
 REPEATS = 50
+#: Bits of a code point's symbol, the symbol of a repeated word, and the number of symbols (0 is what stands before a text).
+BITS, AGAIN = 21, 0x110001
+ALPHABET = AGAIN + 1
 QUANTILE = 0.995
 MARGIN = 1.05
 ERRORS = 1.0
 FEWEST = 30
-#: A table of ids is broadcast up to so many rows (8 bytes a row); beyond that both sides are shuffled.
+#: A table of ids or n-grams is broadcast up to so many rows (8 and 20 bytes a row); beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Characters that are looked up at once (more only where a word is longer).
 SLICE = 1 << 20
@@ -63,12 +69,12 @@ def symbol_table() -> np.ndarray:
     return out
 
 
-def symbols(text: str, known: np.ndarray, before: int | None = None) -> tuple[np.ndarray, int | None]:
-    """The classes of the characters, and the hash of the last word; before is that of the text so far."""
+def symbols(text: str, known: np.ndarray | None, before: int | None = None) -> tuple[np.ndarray, int | None]:
+    """The classes of the characters (code points + 1 where none are known), and the hash of the last word; before is that of the text so far."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(c < 0x250, known[np.minimum(c, 0x24F)], 49)
+    s = c.astype(np.int64) + 1 if known is None else np.where(c < 0x250, known[np.minimum(c, 0x24F)], 49)
     inside = np.zeros(len(s) + 2, np.int8)
-    inside[1:-1] = (s != 40) & (s != 41)
+    inside[1:-1] = (c != 32) & (c != 9) & (c != 10) & (c != 13)
     edge = np.diff(inside)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
@@ -78,7 +84,7 @@ def symbols(text: str, known: np.ndarray, before: int | None = None) -> tuple[np
     word = (sums[last] - sums[first]) * down[first]
     same = np.concatenate([[before is not None and int(word[0]) == before], word[1:] == word[:-1]])
     at = first[same] - 1
-    s[at[at >= 0]] = REPEATS
+    s[at[at >= 0]] = AGAIN if known is None else REPEATS
     return s, int(word[-1])
 
 
@@ -107,11 +113,80 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__trusted")).agg(F.min("quality").alias("lo")).where("lo = 1").select("__trusted")
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with __weight: 1 for trusted documents, else 0."""
     ids = written(trusted_ids(labels), "trusted")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("__trusted"), "left_semi")
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col("__trusted"), "left").withColumn("__weight", F.col("__trusted").isNotNull().cast("int")).drop("__trusted")
+
+
+def code_grams(text: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Context and symbol of the n-grams that end at each character, a slice of the text at a time."""
+    ahead, before = np.zeros(order - 1, np.int64), None
+    for part in slices(text):
+        s, before = symbols(part, None, before)
+        s = np.concatenate([ahead, s])
+        context = np.zeros(len(s) - order + 1, np.int64)
+        for k in range(order - 1):
+            context = context << BITS | s[k : k + len(context)]
+        yield context, s[order - 1 :].astype(np.int32)
+        ahead = s[len(context) :]
+
+
+def code_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """context, symbol, n over all texts, n being the sum of the documents' __weight."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by(["context", "symbol"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["context", "symbol", "n"])
+
+        size = 0
+        for batch in batches:
+            for t, w in zip(batch.column(0), batch.column(1)):
+                for context, symbol in code_grams(t.as_py() or "", order):
+                    held.append(pa.table({"context": context, "symbol": symbol, "n": np.full(len(symbol), w.as_py(), np.int64)}))
+                    size += len(symbol)
+                    if size >= SLICE:
+                        held = [merged()]
+                        size = held[0].num_rows
+                        if 2 * size >= SLICE:
+                            yield from held[0].to_batches()
+                            held, size = [], 0
+        if held:
+            yield from merged().to_batches()
+
+    rows = docs.select(F.col("text").cast("string"), "__weight").mapInArrow(run, "context long, symbol int, n long")
+    return rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+
+
+def _suffix(k: int) -> Column:
+    """The context of an n-gram's suffix of order k."""
+    return F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
+
+
+def code_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """context, symbol, p of all grams, by those with n above 0."""
+    levels, asked = {order: grams.where("n > 0")}, {order: grams.select("context", "symbol")}
+    for k in range(order - 1, 0, -1):
+        levels[k] = written(levels[k + 1].groupBy(_suffix(k).alias("context"), "symbol").agg(F.count("*").alias("n")), "counts")
+        asked[k] = written(asked[k + 1].select(_suffix(k).alias("context"), "symbol").distinct(), "asked")
+    out = None
+    for k in range(1, order + 1):
+        d1, d2, d3 = discounts(levels[k])
+        rows = levels[k].withColumn("off", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("open"))
+        found = asked[k].join(rows, ["context", "symbol"], "left").join(F.broadcast(contexts) if k == 1 else contexts, "context", "left")
+        if out is None:
+            found = found.withColumn("low", F.lit(1 / ALPHABET))
+        else:
+            below = out.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("low"))
+            found = found.withColumn("suffix", _suffix(k - 1)).join(below, ["suffix", "symbol"])
+        p = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("open") / F.col("total"), F.lit(1.0)) * F.col("low")
+        out = written(found.select("context", "symbol", p.alias("p")), "level")
+    return out
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -208,34 +283,68 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
     return Model.of(kneser_ney(written(gram_counts(trusted, order), "counts"), order), order)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with __figure and __error."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.key))  # arrays only
+def key_of() -> Column:
+    """What a document's figure is kept by: 128 bits of its id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text").cast("string"))))
 
-    def run(batches):
-        model = Model(*shared.value)
-        for batch in batches:
-            got = [model.figure(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=[*batch.schema.names[:-1], "__figure", "__error"])
-
-    rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", __figure double, __error double")
 
+def document_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """__key, context, symbol, n: the distinct n-grams of each text, or of each of its slices."""
 
-def thresholds(trusted: DataFrame, model: Model, quantile: float = QUANTILE) -> tuple[DataFrame, float | None]:
-    """__lang, __threshold, and that over all trusted documents."""
-    figures = written(scored(trusted.select(F.col("lang").cast("string").alias("__lang"), F.col("text").alias("text")), model).where("__figure is not null").select("__lang", "__figure"), "figures")
+    def run(batches):
+        for batch in batches:
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+            def grouped() -> Iterator[pa.RecordBatch]:
+                doc = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+                rows = pa.table({"doc": doc, "context": np.concatenate([h[1] for h in held]), "symbol": np.concatenate([h[2] for h in held])})
+                rows = rows.group_by(["doc", "context", "symbol"], use_threads=False).aggregate([([], "count_all")])
+                keys = batch.column(0).take(rows["doc"].combine_chunks())
+                yield from pa.table({"__key": keys, "context": rows["context"], "symbol": rows["symbol"], "n": rows["count_all"]}).to_batches()
+
+            size = 0
+            for k, t in enumerate(batch.column(1)):
+                for context, symbol in code_grams(t.as_py() or "", order):
+                    held.append((k, context, symbol))
+                    size += len(symbol)
+                    if size >= SLICE:
+                        yield from grouped()
+                        held, size = [], 0
+            if size:
+                yield from grouped()
+
+    rows = docs.select(key_of().alias("__key"), F.col("text").cast("string").alias("text")).where("__key is not null")
+    return rows.mapInArrow(run, "__key binary, context long, symbol int, n long")
+
+
+def figures(docs: DataFrame, probabilities: DataFrame, order: int = ORDER) -> DataFrame:
+    """__key, __figure and __variance of the symbols' negative log probabilities; documents with the same key count as one."""
+    if probabilities.count() <= BROADCAST_ROWS:
+        probabilities = F.broadcast(probabilities)
+    x = -F.log("p")
+    rows = document_grams(docs, order).join(probabilities, ["context", "symbol"]).select("__key", "n", x.alias("x"))
+    sums = rows.groupBy("__key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.select("__key", mean.alias("__figure"), F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean).alias("__variance"))
+
+
+def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, float | None]:
+    """trusted: lang, __figure. Gives __lang, __threshold, and that over all trusted documents."""
+    rows = written(trusted.where("__figure is not null").select(F.col("lang").cast("string").alias("__lang"), "__figure"), "figures")
     cut = F.percentile_approx("__figure", F.lit(quantile), F.lit(10_000)) * MARGIN
-    by = figures.where("__lang is not null").groupBy("__lang").agg(cut.alias("__threshold"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).drop("n")
-    return by, figures.agg(cut).first()[0]
+    by = rows.where("__lang is not null").groupBy("__lang").agg(cut.alias("__threshold"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).drop("n")
+    return by, rows.agg(cut).first()[0]
 
 
 def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """docs with __figure, __error, __threshold and __keep."""
-    trusted = trusted_documents(docs, labels)
-    model = train(trusted, order)
-    by, overall = thresholds(trusted, model)
-    rows = scored(docs, model).join(by, F.col("lang").cast("string") == F.col("__lang"), "left").drop("__lang")
+    rows = weighted(docs, labels)
+    grams = written(code_counts(rows, order), "grams")
+    found = written(figures(docs, code_probabilities(grams, order), order), "figures")
+    rows = rows.withColumns({"__key": key_of(), "__length": F.length(F.col("text").cast("string"))}).join(found, "__key", "left")
+    by, overall = thresholds(rows.where("__weight = 1").select("lang", "__figure"))
+    rows = rows.withColumn("__error", F.sqrt(F.col("__variance") / F.col("__length"))).drop("__key", "__length", "__variance", "__weight")
+    rows = rows.join(F.broadcast(by), F.col("lang").cast("string") == F.col("__lang"), "left")  # one row a language.drop("__lang")
     rows = rows.withColumn("__threshold", F.coalesce("__threshold", F.lit(overall).cast("double")))
     return rows.withColumn("__keep", F.coalesce(F.col("__figure") - ERRORS * F.col("__error") <= F.col("__threshold"), F.lit(True)))
 
