@@ -2,7 +2,8 @@
 
 Graphs: SP supplier x part (sum of quantities), NN nation to nation (customers' to suppliers', number of lines), NNS the three
 heaviest targets of each nation in NN, UU user to user and ET event type to event type (consecutive events), EM embeddings as a
-dense matrix, RUNES the first three letters of the nations' names.
+dense matrix, RUNES the first three letters of the nations' names. UU breaks the sequence of events at every 1,000 ids; UUA is
+the whole sequence. Queries that end in _whole leave out nothing that the one of the same name filters.
 """
 
 from __future__ import annotations
@@ -74,6 +75,18 @@ def uu(spark: SparkSession, d: str) -> Matrix:
     return Matrix(cut(rows), n, n)
 
 
+def uua(spark: SparkSession, d: str) -> Matrix:
+    """Within blocks of ids by a window; what ends a block goes to the first of the next, by a window over one row a block."""
+    block, order = F.floor(F.col("event_id") / 1000), W.partitionBy("block").orderBy("event_id")
+    e = _read(spark, d, "events").select("event_id", "user_id", block.alias("block"))
+    first = e.groupBy("block").agg(F.min_by("user_id", "event_id").alias("next"))
+    after = first.select(F.lag("block").over(W.orderBy("block")).alias("block"), "next").where("block is not null")
+    rows = e.withColumn("to", F.lead("user_id").over(order)).join(after, "block", "left").withColumn("to", F.coalesce("to", "next"))
+    rows = rows.where("to is not null and user_id <> to").groupBy(F.col("user_id").alias("i"), F.col("to").alias("j")).agg(F.count("*").cast("double").alias("v"))
+    n = _read(spark, d, "events").agg(F.max("user_id")).first()[0] + 1
+    return Matrix(cut(rows), n, n)
+
+
 def em(spark: SparkSession, d: str) -> Matrix:
     e = _read(spark, d, "embeddings")
     cells = e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
@@ -92,6 +105,7 @@ JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JO
 NNS = f"{NN}, nns AS (SELECT i, j, CAST(v AS DOUBLE) AS v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS nth FROM nn WHERE i <> j) WHERE nth <= 3)"
 UU = """uu AS (SELECT user_id AS i, nxt AS j, CAST(count(*) AS DOUBLE) AS v FROM (
 SELECT user_id, lead(user_id) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND user_id <> nxt GROUP BY 1, 2)"""
+UUA = UU.replace("uu AS", "uua AS").replace("PARTITION BY event_id // 1000 ", "")
 RUNES = "runes AS (SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(k - 1 AS BIGINT) AS j, substr(upper(n_name), k, 1) AS v FROM nation, (SELECT unnest([1, 2, 3]) AS k))"
 
 
@@ -139,6 +153,11 @@ def _(s, d):
     return sp(s, d).row(3).df.where("i <= 40").select(F.lit(3).cast("long").alias("i"), F.col("i").alias("j"), "v")
 
 
+@query("at_point_whole", f"WITH {SP} SELECT i, j, v FROM sp WHERE i = 3")
+def _(s, d):
+    return sp(s, d).row(3).df.select(F.lit(3).cast("long").alias("i"), F.col("i").alias("j"), "v")
+
+
 @query("row_slice", f"WITH {SP} SELECT j AS i, v FROM sp WHERE i = 5")
 def _(s, d):
     return sp(s, d).row(5).df
@@ -465,11 +484,18 @@ def _lines(s: SparkSession, d: str, /, **columns: Column) -> DataFrame:
     return _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in columns.items()))
 
 
-@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS sb, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem WHERE l_orderkey >= 100")
-def _(s, d):
+def _arithmetic(s: SparkSession, d: str) -> DataFrame:
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     out = dict(a=ops.addition(q, n), sb=ops.subtraction(q, n), m=ops.multiplication(q, n), d=F.round(ops.division(q, n), 6), di=ops.integer_division(F.col("l_orderkey") - 100, n.cast("long")), mi=ops.minimum(q, n * 10), ma=ops.maximum(q, n * 10), f=ops.first_argument(q, n), g=ops.second_argument(q, n))
-    return _lines(s, d, **out).where("l_orderkey >= 100")
+    return _lines(s, d, **out)
+
+
+@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS sb, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem WHERE l_orderkey >= 100")
+def _(s, d):
+    return _arithmetic(s, d).where("l_orderkey >= 100")
+
+
+query("scalar_arithmetic_whole", ORACLES["scalar_arithmetic"].removesuffix(" WHERE l_orderkey >= 100"))(_arithmetic)
 
 
 @query("scalar_comparison", _LINES + "l_quantity = l_linenumber AS eq, l_quantity <> l_linenumber AS ne, l_quantity > l_linenumber AS gt, l_quantity < l_linenumber AS lt, l_quantity >= l_linenumber AS ge, l_quantity <= l_linenumber AS le FROM lineitem")
@@ -535,6 +561,11 @@ def _(s, d):
     return clustering.components(nns(s, d).df.where("i % 3 = j % 3"), 25)
 
 
+@query("components_whole", ORACLES["components"].replace(" WHERE i % 3 = j % 3", "").replace(NNS, NN).replace("nns", "nn"))
+def _(s, d):
+    return clustering.components(nn(s, d).df.select("i", "j"), 25)
+
+
 def _ranks(rounds: int) -> str:
     steps = ["n AS (SELECT max(user_id) + 1 AS n FROM events)", "o AS (SELECT i, sum(v) AS t FROM uu GROUP BY i)", "v AS (SELECT unnest(range(n)) AS i FROM n)", "r0 AS (SELECT i, 1.0 / n AS r FROM v, n)"]
     for k in range(1, rounds + 1):
@@ -549,9 +580,14 @@ def _(s, d):
     return centrality.pagerank(uu(s, d), tolerance=-1, rounds=10).df.select("i", F.round("v", 8).alias("v"))
 
 
+@query("pagerank_whole", _ranks(10).replace(UU, UUA).replace("uu.", "uua.").replace("FROM uu ", "FROM uua "))
+def _(s, d):
+    return centrality.pagerank(uua(s, d), tolerance=-1, rounds=10).df.select("i", F.round("v", 8).alias("v"))
+
+
 @query("pagerank_converged")
 def _(s, d):
-    return centrality.pagerank(uu(s, d)).df
+    return centrality.pagerank(uua(s, d)).df
 
 
 @query("betweenness")
