@@ -3,7 +3,8 @@
 Graphs: SP supplier x part (sum of quantities), NN nation to nation (customers' to suppliers', number of lines), NNS the three
 heaviest targets of each nation in NN, UU user to user and ET event type to event type (consecutive events), EM embeddings as a
 dense matrix, RUNES the first three letters of the nations' names. UU breaks the sequence of events at every 1,000 ids; UUA is
-the whole sequence. Queries that end in _whole leave out nothing that the one of the same name filters.
+the whole sequence, and grows with the events. Queries that end in _users are those on NNS over UUA; the others on NNS are held by
+SQL that has its three targets, but for those without SQL, which are over UUA too. Queries that end in _whole leave out nothing that the one of the same name filters.
 """
 
 from __future__ import annotations
@@ -556,6 +557,29 @@ def _(s, d):
     return s.createDataFrame([(t, None if x == float("inf") else x) for t, x in found], "target long, distance double")
 
 
+@query("bfs_levels_users", _reach(UUA, "uua", 0))
+def _(s, d):
+    return traversal.levels(uua(s, d), 0)
+
+
+@query("bfs_search_users", ORACLES["bfs_search"].replace(NNS, UUA).replace("nns", "uua"))
+def _(s, d):
+    rounds = []
+    return traversal.search(uua(s, d).transpose(), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
+
+
+@query("sssp_users", _distances(UUA, "uua", 0, 24))
+def _(s, d):
+    return traversal.single_source(uua(s, d), 0).df
+
+
+@query("between_users", ORACLES["between"].replace(NNS, UUA).replace("nns", "uua"))
+def _(s, d):
+    m = uua(s, d)
+    found = [(t, traversal.between(m, 0, t)[0]) for t in (0, 7, 13)]
+    return s.createDataFrame([(t, None if x == float("inf") else x) for t, x in found], "target long, distance double")
+
+
 @query("components", f"WITH RECURSIVE {NNS}, e AS (SELECT i, j FROM nns WHERE i % 3 = j % 3 UNION SELECT j, i FROM nns WHERE i % 3 = j % 3), r(i, j) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT) FROM (SELECT unnest(range(25)) AS k) UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j) SELECT i AS vertex, min(j) AS label FROM r GROUP BY i")
 def _(s, d):
     return clustering.components(nns(s, d).df.where("i % 3 = j % 3"), 25)
@@ -592,12 +616,12 @@ def _(s, d):
 
 @query("betweenness")
 def _(s, d):
-    return centrality.betweenness(nns(s, d)).df.select("i", F.round("v", 6).alias("v"))
+    return centrality.betweenness(uua(s, d)).df.select("i", F.round("v", 6).alias("v"))
 
 
 @query("betweenness_sources")
 def _(s, d):
-    return centrality.betweenness(nns(s, d), [0, 3, 3], batch=2).df.select("i", F.round("v", 6).alias("v"))
+    return centrality.betweenness(uua(s, d), [0, 3, 3], batch=2).df.select("i", F.round("v", 6).alias("v"))
 
 
 def _closeness(rounds: int) -> str:
@@ -616,6 +640,22 @@ def _(s, d):
     return traversal.all_pairs(nns(s, d))
 
 
+def _users(sql: str) -> str:
+    """The SQL of a query on NNS, over UUA."""
+    vertices, n = "unnest(range((SELECT max(user_id) + 1 FROM events)))", "(SELECT max(user_id) FROM events)"
+    return sql.replace(NNS, UUA).replace("nns", "uua").replace("unnest(range(25))", vertices).replace("* r / 24", f"* r / {n}")
+
+
+@query("closeness_users", _users(_closeness(24)))
+def _(s, d):
+    return centrality.closeness(uua(s, d)).df.select("i", F.round("v", 8).alias("v"))
+
+
+@query("all_pairs_users", _users(ORACLES["all_pairs"]))
+def _(s, d):
+    return traversal.all_pairs(uua(s, d))
+
+
 @query("symmetrized", f"WITH {NNS} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT i, v FROM nns UNION ALL SELECT j, v FROM nns) GROUP BY i")
 def _(s, d):
     return clustering.symmetrized(nns(s, d))[1].df
@@ -631,12 +671,12 @@ def _(s, d):
 
 @query("markov")
 def _(s, d):
-    return clustering.markov(nns(s, d))
+    return clustering.markov(uua(s, d))
 
 
 @query("peer_pressure")
 def _(s, d):
-    return clustering.peer_pressure(nns(s, d))
+    return clustering.peer_pressure(uua(s, d))
 
 
 @query("groups", f"WITH {NNS} SELECT i % 4 AS label, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS members FROM (SELECT DISTINCT i FROM nns) GROUP BY 1")
@@ -652,12 +692,12 @@ def _(s, d):
 
 @query("local_cluster")
 def _(s, d):
-    return clustering.local(nns(s, d), 0)
+    return clustering.local(uua(s, d), 0)
 
 
 @query("spectral")
 def _(s, d):
-    return clustering.spectral(nns(s, d), 3)
+    return clustering.spectral(uua(s, d), 3)
 
 
 @query("row_reduction", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 0, 1), (0, 1, 0), (0, 2, 0), (0, 3, -8), (1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 1), (2, 0, 0), (2, 1, 0), (2, 2, 1), (2, 3, -2)) t(i, j, v)")

@@ -19,3 +19,30 @@ def test_transitions_cross_the_blocks_of_ids(spark):
     want, n = transitions()
     got = catalogue.uua(spark, D)
     assert got.nrows == n and {(r.i, r.j): r.v for r in got.df.collect()} == want
+
+
+def test_betweenness_over_all_transitions(spark):
+    edges, n = transitions()
+    after = [[b for a, b in edges if a == k] for k in range(n)]
+    want = [0.0] * n
+    for s in range(n):
+        level, paths, order = {s: 0}, Counter({s: 1}), [s]
+        for u in order:
+            for w in after[u]:
+                if w not in level:
+                    level[w] = level[u] + 1
+                    order.append(w)
+                if level[w] == level[u] + 1:
+                    paths[w] += paths[u]
+        share = Counter()
+        for u in reversed(order):
+            share[u] = sum(paths[u] / paths[w] * (1 + share[w]) for w in after[u] if level[w] == level[u] + 1)
+            want[u] += share[u] if u != s else 0
+    got = catalogue.QUERIES["betweenness"](spark, D).collect()
+    assert len(got) == n and all(abs(r.v - want[r.i]) < 1e-5 for r in got)
+
+
+def test_clusters_are_of_all_users(spark):
+    _, n = transitions()
+    for name in ("markov", "peer_pressure", "spectral"):
+        assert sorted(r.vertex for r in catalogue.QUERIES[name](spark, D).collect()) == list(range(n))
