@@ -83,11 +83,12 @@ NAMES = [
     ("afl-3.0", "(?:academic free|afl)", "licen", False),
     ("osl-3.0", "(?:open software|osl)", "licen", False),
 ]
-#: form, keyword (None: the name's), priority, confidence; the last is the name alone.
+#: form, keyword (None: the name's; a pair: the name's, but the second where that is the first, which the form needn't hold), priority,
+#: confidence; the last is the name alone.
 FORMS = [
     ("(?:dual )?licen[sc]ed under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[sc]e)?", "licen", 1, 1.0),
-    ("(?:released|published|distributed|available|provided|offered|issued) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[sc]e)?", None, 1, 1.0),
-    ("(?:subject to|governed by|covered by|according to) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[sc]e)?", None, 1, 0.95),
+    ("(?:released|published|distributed|available|provided|offered|issued) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[sc]e)?", ("licen", "ed under |available under "), 1, 1.0),
+    ("(?:subject to|governed by|covered by|according to) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[sc]e)?", ("licen", "subject to|governed by|covered by|according to"), 1, 0.95),
     ("spdx licen[sc]e identifier {name}", "spdx", 1, 1.0),
     ("(?:terms|text|copy) of (?:the )?{name} licen[sc]e", "licen", 2, 0.85),
     ("{name} (?:public )?licen[sc]e(?:d)?", "licen", 2, 0.8),
@@ -125,15 +126,18 @@ def rules() -> tuple[tuple[str, str, str, int, float, bool], ...]:
     """(label, expression, keyword, priority, confidence, base) in order."""
     made = [(label, phrase, phrase, 2, 0.7, True) for phrase, label in BASE]
     for form, word, priority, confidence in FORMS:
-        made += [(label, form.replace("{name}", name), word or own, priority, confidence, False) for label, name, own, alone in NAMES if alone or form != "{name}"]
+        of = lambda own, word=word: (word[1] if own == word[0] else own) if isinstance(word, tuple) else word or own
+        made += [(label, form.replace("{name}", name), of(own), priority, confidence, False) for label, name, own, alone in NAMES if alone or form != "{name}"]
     made += [(*x, False) for x in GENERIC]
     return tuple((label, f"(?<= ){regex}(?= )", word, priority, confidence, base) for label, regex, word, priority, confidence, base in made)
 
 
 @functools.cache
 def gate() -> str:
-    """The keywords of all rules as one expression; a text without any of them is not looked at further."""
-    return "|".join(sorted({r[2] for r in rules()}))
+    """The keywords of all rules as one expression, by first letters, without those that hold another; a text without any of them is not looked at further."""
+    words = {w for r in rules() for w in r[2].split("|")}
+    words = sorted(w for w in words if not any(x != w and x in w for x in words))
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in sorted({w[0] for w in words}))
 
 
 def _sql(x: object) -> str:
