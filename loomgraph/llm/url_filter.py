@@ -11,7 +11,7 @@ urls, smoothed by WEIGHT urls with the share of the same template on all hosts,
 share. At a purity of THRESHOLD or more a url is blocked.
 
 Defined cases: a url that is null or has no "://" has empty host and path; the host ends at the first "/", "?" or "#", the
-path at "?" or "#". Only A-Z of hosts are lower-cased. Paths deeper than DEPTH segments share the rest as one wildcard.
+path at "?" or "#". Only A-Z of hosts are lower-cased. Paths are of any depth.
 Without any label, nothing but the rules blocks. Null and repeated page_ids are rows like others. Columns that aren't named
 are ignored. Only counts per host and template are shuffled before the verdicts are joined back, so a host that holds a
 third of all urls is summed up by each task first.
@@ -28,7 +28,6 @@ from loomgraph.llm.common import table, written
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 6
 #: A node's literals are a wildcard if there are so many different ones, as many as such a share of its urls; but one that
 #: has a share of 1 / MANY by itself stays.
 MANY, SHARE = 20, 0.3
@@ -57,10 +56,9 @@ def fitting(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[C
 
 
 def segments_of(path: Column) -> Column:
-    """The path's segments with the variable ones as wildcards; at most DEPTH, then one for the rest."""
+    """The path's segments with the variable ones as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) >= 24), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,5}$", 0))).otherwise(s))
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) >= 24), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,5}$", 0))).otherwise(s))
 
 
 def _text(segments: Column) -> Column:
