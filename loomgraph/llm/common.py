@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import sys
 import tempfile
@@ -51,6 +53,31 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def freed(run):
+    """run, a function over batches, after which the worker hands unused memory back to the system: it outlives its stage."""
+
+    @functools.wraps(run)
+    def out(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # only glibc has it
+            pass
+
+    return out
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, whichever task runs in it."""
     return sys.modules.setdefault("_loomgraph_worker", types.ModuleType("_loomgraph_worker")).__dict__

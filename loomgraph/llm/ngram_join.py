@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.llm import wordhash as H
-from loomgraph.llm.common import dropped, table, written
+from loomgraph.llm.common import dropped, freed, table, unused, written
 from loomgraph.llm.components import components
 
 WORDS = 5
@@ -48,6 +48,11 @@ COST = 64
 KEPT_FREQUENT = 1 << 18
 #: A table of ids (16 bytes a row) is broadcast up to so many rows.
 BROADCAST_ROWS = 1_000_000
+#: Shingles that a task collects before it counts them, and texts whose sets are held at once.
+WAITING = 1 << 20
+ROWS = 256
+#: Nodes that a task remembers.
+DONE = 1 << 18
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -77,32 +82,44 @@ def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
     def run(batches):
         names = ["doc_id", "n_shingles", "node", "token", "seen"]
+        kinds = [pa.int64()] * 5
         parts: list[np.ndarray] = []
         tokens, counts, waiting = np.empty(0, np.uint64), np.empty(0, np.int64), 0
 
         def merged():
             new, one = np.unique(np.concatenate(parts), return_counts=True)
-            every = np.concatenate([tokens, new])
-            at, back = np.unique(every, return_inverse=True)
-            return at, np.bincount(back, np.concatenate([counts, one])).astype(np.int64)
+            new, one = np.concatenate([tokens, new]), np.concatenate([counts, one])
+            order = np.argsort(new, kind="stable")
+            new, one = new[order], one[order]
+            first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            total = np.add.reduceat(one, first)
+            return new[first][total > 1], total[total > 1]  # what has been seen once goes
+
+        def reported():
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts)], names=names)
 
         for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column(1)]
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), none, none], names=names)
-            for s in sets:
-                parts.append(s)
-                waiting += len(s)
-                if waiting > 4_000_000:  # what has been seen once goes, so that memory stays bounded
-                    tokens, counts = merged()
-                    tokens, counts, parts, waiting = tokens[counts > 1], counts[counts > 1], [], 0
+            for at in range(0, batch.num_rows, ROWS):
+                rows = []
+                part = batch.slice(at, ROWS)
+                for doc_id, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    s = shingles(t.as_py(), n)
+                    rows.append((doc_id, len(s), node_of(s) if len(s) else None, None, None))
+                    parts.append(s)
+                    waiting += len(s)
+                    if waiting > WAITING:
+                        tokens, counts = merged()
+                        parts, waiting = [], 0
+                        if len(tokens) > WAITING // 2:  # summed up by the tables
+                            yield reported()
+                            tokens, counts = tokens[:0], counts[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         if parts:
             tokens, counts = merged()
-        keep = counts > 1
-        none = pa.nulls(int(keep.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=names)
+        yield reported()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, token long, seen long")
+    return _texts(docs).mapInArrow(freed(run), "doc_id long, n_shingles long, node long, token long, seen long")
 
 
 def frequent(surveyed: DataFrame, kept: int = KEPT_FREQUENT) -> DataFrame:
@@ -111,7 +128,7 @@ def frequent(surveyed: DataFrame, kept: int = KEPT_FREQUENT) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, last: "tuple[np.ndarray, np.ndarray]", n: int = WORDS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
-    """token, node, place: the first shingles of each set, as far as the longest prefix goes; place holds the set's size times 2^32 and the shingle's place in the order. A task gives each node once."""
+    """token, node, place: the first shingles of each set, as far as the longest prefix goes; place holds the set's size times 2^32 and the shingle's place in the order. A task gives each of the last DONE nodes once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(last)
 
@@ -119,23 +136,26 @@ def prefixes(docs: DataFrame, last: "tuple[np.ndarray, np.ndarray]", n: int = WO
         tokens, seen = shared.value
         done: set[int] = set()
         for batch in batches:
-            found, nodes, places = [], [], []
-            for t in batch.column(0):
-                s = shingles(t.as_py(), n)
-                node = node_of(s)
-                if not len(s) or node in done:
-                    continue
-                done.add(node)
-                at = np.minimum(np.searchsorted(tokens, s), max(len(tokens) - 1, 0))
-                weight = np.where(tokens[at] == s, seen[at], 0) if len(tokens) else np.zeros(len(s), np.int64)
-                first = s[np.lexsort((s, weight))][: len(s) - least_shared(len(s), percent) + most]
-                found.append(first)
-                nodes.append(np.full(len(first), node, np.int64))
-                places.append((len(s) << 32) + np.arange(len(first)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], names=["token", "node", "place"])
-
-    return _texts(docs).where("doc_id is not null").select("text").mapInArrow(run, "token long, node long, place long")
+            for begin in range(0, batch.num_rows, ROWS):
+                found, nodes, places = [], [], []
+                for t in batch.column(0).slice(begin, ROWS):
+                    s = shingles(t.as_py(), n)
+                    node = node_of(s)
+                    if not len(s) or node in done:
+                        continue
+                    if len(done) >= DONE:
+                        done.clear()
+                    done.add(node)
+                    at = np.minimum(np.searchsorted(tokens, s), max(len(tokens) - 1, 0))
+                    weight = np.where(tokens[at] == s, seen[at], 0) if len(tokens) else np.zeros(len(s), np.int64)
+                    first = s[np.lexsort((s, weight))][: len(s) - least_shared(len(s), percent) + most]
+                    found.append(first)
+                    nodes.append(np.full(len(first), node, np.int64))
+                    places.append((len(s) << 32) + np.arange(len(first)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], names=["token", "node", "place"])
+
+    return _texts(docs).where("doc_id is not null").select("text").mapInArrow(freed(run), "token long, node long, place long")
 
 
 def _size(name: str) -> F.Column:
@@ -169,7 +189,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int =
             yield batch.select([0, 1]).filter(pa.array(stays, pa.bool_()))
 
     rows = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "y"}), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long")
 
 
 def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: int = PERCENT, most: int = MOST, cost: int = COST) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +233,7 @@ def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: in
             mine = [node_of(s) == k if len(s := shingles(t.as_py(), n)) else False for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield batch.filter(pa.array(mine, pa.bool_()))
 
-    texts = written(_texts(docs).join(chosen, "doc_id").select("node", "text").mapInArrow(right, "node long, text string").dropDuplicates(["node"]), "texts")
+    texts = written(_texts(docs).join(chosen, "doc_id").select("node", "text").mapInArrow(freed(right), "node long, text string").dropDuplicates(["node"]), "texts")
     links = written(verified(stars, texts, n, percent), "links")
     one = components(links)
 
@@ -266,10 +286,11 @@ def _same_document(found: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the documents of a component other than that with the smallest doc_id. Rows with null ids or empty sets stay; of repeated rows of one doc_id, all stay."""
-    gone = written(classes(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    its = unused(docs, "gone")
+    gone = written(classes(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(its)).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:  # else both sides are shuffled
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(its), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

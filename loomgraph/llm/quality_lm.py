@@ -3,31 +3,28 @@
 Symbols. Every code point is a symbol of its own, whatever its script; white space before a word that repeats the one before
 it is one more. An n-gram is its context (the symbols before, BITS bits each, exact) and its last symbol.
 
-Training. Every trusted document is counted (labels: quality 1 and never 0). Each task sends sums of its n-grams; counts of
-all orders, their contexts' sums and the lower orders' continuation counts are tables that grow with the text, spread by
-hash. Discounts come from the counts of counts of each order.
+Training. Trusted documents (labels: quality 1 and never 0) are counted, but for one in HELD, by a hash of the id, which is
+held out. Each task sends sums of its n-grams; counts of all orders, their contexts' sums and the lower orders' continuation
+counts are tables that grow with the text, spread by hash. Discounts come from the counts of counts of each order.
 
 Scoring. The probabilities of all n-grams of the corpus, seen in trusted text or not, come from joins with these tables on
 n-gram, context and suffix, a level at a time. Every document's distinct n-grams, with their numbers, are joined to that
 table and summed up by document. A document's figure is the mean negative log probability of its symbols; perplexity is its
 exponential.
 
-Thresholds. Per language, the QUANTILE of the figure over trusted documents times MARGIN; languages with fewer than
-FEWEST trusted documents, and null ones, use that over all trusted documents. A document is rejected if its figure, less
-ERRORS standard errors (short texts vary), is above the threshold.
+Thresholds. Per language, the QUANTILE of the figure over held-out trusted documents, which the model hasn't seen, times
+MARGIN; languages with fewer than FEWEST of them, and null ones, use that over all held-out documents. A document is rejected
+if its figure, less ERRORS standard errors (short texts vary), is above the threshold.
 
-Defined cases: a null or empty text has no perplexity and is kept, since there is nothing against it. Without any trusted
+Defined cases: a null or empty text has no perplexity and is kept, since there is nothing against it. Without any held-out
 document everything is kept. Null and repeated ids are rows like others; ids in labels that are null count for nothing, and
-conflicting labels mean not trusted. Extra columns stay in filter_documents(), whatever their names.
-
-train() and Model are the same estimate over SYMBOLS classes of characters, as a dense array; the query doesn't use them.
+conflicting labels mean not trusted. Texts of any length are worked through in slices. Extra columns stay in
+filter_documents(), whatever their names; texts aren't shuffled, but for the rejection of more than BROADCAST_ROWS documents.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import wordhash as H
-from loomgraph.llm.common import table, worker_cache, written
+from loomgraph.llm.common import dropped, freed, table, unused, written
 
 ORDER = 4
-SYMBOLS = 51
-REPEATS = 50
 #: Bits of a code point's symbol, the symbol of a repeated word, and the number of symbols (0 is what stands before a text).
 BITS, AGAIN = 21, 0x110001
 ALPHABET = AGAIN + 1
@@ -48,6 +43,8 @@ QUANTILE = 0.995
 MARGIN = 1.05
 ERRORS = 1.0
 FEWEST = 30
+#: One trusted document in so many is held out of training, for the thresholds (0: none is, and all of them set thresholds).
+HELD = 5
 #: A table of ids or n-grams is broadcast up to so many rows (8 and 20 bytes a row); beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Characters that are looked up at once (more only where a word is longer).
@@ -55,36 +52,22 @@ SLICE = 1 << 20
 BLANK = re.compile(r"[ \t\r\n]")
 
 
-def symbol_table() -> np.ndarray:
-    """The class of each character below U+0250; 0 is what stands before a text."""
-    out = np.full(0x250, 46, np.int64)
-    out[np.arange(ord("a"), ord("z") + 1)] = np.arange(1, 27)
-    out[np.arange(ord("A"), ord("Z") + 1)] = 39
-    for c in range(0xC0, 0x250):
-        out[c] = 39 if chr(c).isupper() else 27 + c % 12
-    out[np.arange(ord("0"), ord("9") + 1)] = 47
-    for chars, k in ((" ", 40), ("\t\r\n", 41), (".", 42), (",", 43), ("'-", 44), ("!?", 45), ("#$%&*@^~|=+<>_\\/", 48)):
-        for c in chars:
-            out[ord(c)] = k
-    return out
-
-
-def symbols(text: str, known: np.ndarray | None, before: int | None = None) -> tuple[np.ndarray, int | None]:
-    """The classes of the characters (code points + 1 where none are known), and the hash of the last word; before is that of the text so far."""
+def symbols(text: str, before: int | None = None) -> tuple[np.ndarray, int | None]:
+    """The characters' symbols (code points + 1), and the hash of the last word; before is that of the text so far."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = c.astype(np.int64) + 1 if known is None else np.where(c < 0x250, known[np.minimum(c, 0x24F)], 49)
+    s = c.astype(np.int64) + 1
     inside = np.zeros(len(s) + 2, np.int8)
     inside[1:-1] = (c != 32) & (c != 9) & (c != 10) & (c != 13)
     edge = np.diff(inside)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
         return s, before
-    up, down = H._powers(len(c) + 1)
+    up, down = H.powers(len(c) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(H.mixed(c.astype(np.uint64) + H.ONE) * up[: len(c)], dtype=np.uint64)])
     word = (sums[last] - sums[first]) * down[first]
     same = np.concatenate([[before is not None and int(word[0]) == before], word[1:] == word[:-1]])
     at = first[same] - 1
-    s[at[at >= 0]] = AGAIN if known is None else REPEATS
+    s[at[at >= 0]] = AGAIN
     return s, int(word[-1])
 
 
@@ -96,36 +79,27 @@ def slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def grams(text: str, order: int, known: np.ndarray) -> Iterator[np.ndarray]:
-    """The n-grams that end at each character, as numbers, a slice of the text at a time."""
-    ahead, before = np.zeros(order - 1, np.int64), None
-    for part in slices(text):
-        s, before = symbols(part, known, before)
-        s = np.concatenate([ahead, s])
-        out = np.zeros(len(s) - order + 1, np.int64)
-        for k in range(order):
-            out = out * SYMBOLS + s[k : k + len(out)]
-        yield out
-        ahead = s[len(s) - order + 1 :]
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__trusted")).agg(F.min("quality").alias("lo")).where("lo = 1").select("__trusted")
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("trusted")).agg(F.min("quality").alias("lo")).where("lo = 1").select("trusted")
 
 
-def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with __weight: 1 for trusted documents, else 0."""
+def prepared(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, text, trusted, weight (1 for the documents of training, else 0) and nothing else."""
     ids = written(trusted_ids(labels), "trusted")
-    if ids.count() <= BROADCAST_ROWS:
+    if ids.count() <= BROADCAST_ROWS:  # else both sides are shuffled
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("__trusted"), "left").withColumn("__weight", F.col("__trusted").isNotNull().cast("int")).drop("__trusted")
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(ids, F.col("doc_id").cast("long") == F.col("trusted"), "left")
+    held = F.pmod(F.xxhash64("trusted"), F.lit(HELD)) == 0 if HELD else F.lit(False)
+    weight = F.when(F.col("trusted").isNotNull() & ~held, 1).otherwise(0)
+    return rows.select("doc_id", "lang", "text", F.col("trusted").isNotNull().alias("trusted"), weight.alias("weight"))
 
 
 def code_grams(text: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Context and symbol of the n-grams that end at each character, a slice of the text at a time."""
     ahead, before = np.zeros(order - 1, np.int64), None
     for part in slices(text):
-        s, before = symbols(part, None, before)
+        s, before = symbols(part, before)
         s = np.concatenate([ahead, s])
         context = np.zeros(len(s) - order + 1, np.int64)
         for k in range(order - 1):
@@ -135,7 +109,7 @@ def code_grams(text: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def code_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """context, symbol, n over all texts, n being the sum of the documents' __weight."""
+    """context, symbol, n over all texts, n being the sum of the documents' weight."""
 
     def run(batches):
         held: list[pa.Table] = []
@@ -158,7 +132,7 @@ def code_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if held:
             yield from merged().to_batches()
 
-    rows = docs.select(F.col("text").cast("string"), "__weight").mapInArrow(run, "context long, symbol int, n long")
+    rows = docs.select("text", "weight").mapInArrow(freed(run), "context long, symbol int, n long")
     return rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
@@ -189,22 +163,6 @@ def code_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, n over all texts."""
-
-    def run(batches):
-        known, total = symbol_table(), np.zeros(SYMBOLS**order, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                for g in grams(t.as_py() or "", order, known):
-                    u, n = np.unique(g, return_counts=True)
-                    total[u] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """D1, D2 and D3+ from the numbers of n-grams that were seen once to four times."""
     n1, n2, n3, n4 = counts.agg(*(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4))).first()
@@ -213,83 +171,14 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.01) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """level, gram, p of the n-grams seen, and level, gram (a context), rest: what its unseen continuations share."""
-    levels = {order: counts}
-    for k in range(order - 1, 0, -1):  # how many symbols an n-gram has been seen after
-        levels[k] = written(levels[k + 1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count("*").alias("n")), "counts")
-    spark = counts.sparkSession
-    below = spark.range(1).select(F.lit(0).cast("long").alias("suffix"), F.lit(1 / SYMBOLS).alias("low"))
-    out = None
-    for k in range(1, order + 1):
-        d1, d2, d3 = discounts(levels[k])
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = levels[k].select("gram", "n", F.floor(F.col("gram") / SYMBOLS).alias("context"), (F.col("gram") % SYMBOLS ** (k - 1)).alias("suffix"), off.alias("off"))
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("open"))
-        p = (F.col("n") - F.col("off")) / F.col("total") + F.col("open") / F.col("total") * F.col("low")
-        found = written(rows.join(contexts, "context").join(below, "suffix").select("gram", p.alias("p")), "level")
-        part = found.select(F.lit(k).alias("level"), "gram", "p", F.lit(None).cast("double").alias("rest")).unionByName(
-            contexts.select(F.lit(k).alias("level"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("open") / F.col("total")).alias("rest"))
-        )
-        out = part if out is None else out.unionByName(part)
-        below = found.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
-    return out
-
-
-class Model:
-    """A finished table, small enough to be sent; dense() makes the array of negative log probabilities that a worker keeps."""
-
-    def __init__(self, rows: "list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]", key: str | None = None):
-        self.key, self.rows = key or uuid.uuid4().hex, rows
-
-    @staticmethod
-    def of(found: DataFrame, order: int = ORDER) -> "Model":
-        """At most 2 * SYMBOLS ** order rows, whatever the corpus."""
-        got = found.toPandas()
-        out = []
-        for k in range(1, order + 1):
-            seen, open_ = got[(got.level == k) & got.p.notna()], got[(got.level == k) & got.rest.notna()]
-            out.append((seen.gram.to_numpy(np.int64), seen.p.to_numpy(float), open_.gram.to_numpy(np.int64), open_.rest.to_numpy(float)))
-        return Model(out)
-
-    def dense(self) -> np.ndarray:
-        kept = worker_cache().setdefault("models", {})
-        if self.key not in kept:
-            kept.clear()
-            p = np.full(1, 1 / SYMBOLS)
-            for k, (seen, value, contexts, rest) in enumerate(self.rows, 1):
-                share = np.ones(SYMBOLS ** (k - 1))
-                share[contexts] = rest
-                low = p if k > 1 else np.full(SYMBOLS, 1 / SYMBOLS)
-                p = (share[:, None] * np.tile(low.reshape(-1, SYMBOLS), (max(1, SYMBOLS ** (k - 1) // max(1, len(low) // SYMBOLS)), 1))).reshape(-1)
-                p[seen] = value
-            kept[self.key] = (-np.log(p)).astype(np.float32)
-        return kept[self.key]
-
-    def figure(self, text: str) -> tuple[float, float] | tuple[None, None]:
-        """The mean of the symbols' negative log probabilities, and its standard error."""
-        if not text:
-            return None, None
-        order, cost, known = len(self.rows), self.dense(), symbol_table()
-        n = total = squares = 0.0
-        for g in grams(text, order, known):
-            x = cost[g].astype(float)
-            n, total, squares = n + len(x), total + x.sum(), squares + (x * x).sum()
-        mean = total / n
-        return mean, math.sqrt(max(0.0, squares / n - mean * mean) / n)
-
-
-def train(trusted: DataFrame, order: int = ORDER) -> Model:
-    return Model.of(kneser_ney(written(gram_counts(trusted, order), "counts"), order), order)
-
-
-def key_of() -> Column:
-    """What a document's figure is kept by: 128 bits of its id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text").cast("string"))))
+def key_of(doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> Column:
+    """What a document's figure is kept by: 128 bits of its id, language and text; null where the text is."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (doc_id, lang)]
+    return F.unhex(F.md5(F.concat(own[0], F.lit(":"), F.coalesce(F.octet_length(F.col(lang).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), own[1], F.col(text).cast("string"))))
 
 
 def document_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """__key, context, symbol, n: the distinct n-grams of each text, or of each of its slices."""
+    """key, context, symbol, n: the distinct n-grams of each text, or of each of its slices."""
 
     def run(batches):
         for batch in batches:
@@ -300,7 +189,7 @@ def document_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 rows = pa.table({"doc": doc, "context": np.concatenate([h[1] for h in held]), "symbol": np.concatenate([h[2] for h in held])})
                 rows = rows.group_by(["doc", "context", "symbol"], use_threads=False).aggregate([([], "count_all")])
                 keys = batch.column(0).take(rows["doc"].combine_chunks())
-                yield from pa.table({"__key": keys, "context": rows["context"], "symbol": rows["symbol"], "n": rows["count_all"]}).to_batches()
+                yield from pa.table({"key": keys, "context": rows["context"], "symbol": rows["symbol"], "n": rows["count_all"]}).to_batches()
 
             size = 0
             for k, t in enumerate(batch.column(1)):
@@ -313,50 +202,57 @@ def document_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if size:
                 yield from grouped()
 
-    rows = docs.select(key_of().alias("__key"), F.col("text").cast("string").alias("text")).where("__key is not null")
-    return rows.mapInArrow(run, "__key binary, context long, symbol int, n long")
+    rows = docs.select(key_of().alias("key"), "text").where("key is not null")
+    return rows.mapInArrow(freed(run), "key binary, context long, symbol int, n long")
 
 
 def figures(docs: DataFrame, probabilities: DataFrame, order: int = ORDER) -> DataFrame:
-    """__key, __figure and __variance of the symbols' negative log probabilities; documents with the same key count as one."""
+    """key, figure and variance of the symbols' negative log probabilities; documents with the same key count as one."""
     if probabilities.count() <= BROADCAST_ROWS:
         probabilities = F.broadcast(probabilities)
     x = -F.log("p")
-    rows = document_grams(docs, order).join(probabilities, ["context", "symbol"]).select("__key", "n", x.alias("x"))
-    sums = rows.groupBy("__key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q"))
+    rows = document_grams(docs, order).join(probabilities, ["context", "symbol"]).select("key", "n", x.alias("x"))
+    sums = rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q"))
     mean = F.col("s") / F.col("n")
-    return sums.select("__key", mean.alias("__figure"), F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean).alias("__variance"))
+    return sums.select("key", mean.alias("figure"), F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean).alias("variance"))
 
 
 def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, float | None]:
-    """trusted: lang, __figure. Gives __lang, __threshold, and that over all trusted documents."""
-    rows = written(trusted.where("__figure is not null").select(F.col("lang").cast("string").alias("__lang"), "__figure"), "figures")
-    cut = F.percentile_approx("__figure", F.lit(quantile), F.lit(10_000)) * MARGIN
-    by = rows.where("__lang is not null").groupBy("__lang").agg(cut.alias("__threshold"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).drop("n")
+    """trusted: lang, figure. Gives its, threshold of the languages with enough rows, and the threshold over all of them."""
+    rows = written(trusted.where("figure is not null").select("lang", "figure"), "figures")
+    cut = F.percentile_approx("figure", F.lit(quantile), F.lit(10_000)) * MARGIN
+    by = rows.where("lang is not null").groupBy(F.col("lang").alias("its")).agg(cut.alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).drop("n")
     return by, rows.agg(cut).first()[0]
 
 
 def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """docs with __figure, __error, __threshold and __keep."""
-    rows = weighted(docs, labels)
+    """doc_id, lang, key, figure, error, threshold, keep of every row."""
+    rows = prepared(docs, labels)
     grams = written(code_counts(rows, order), "grams")
-    found = written(figures(docs, code_probabilities(grams, order), order), "figures")
-    rows = rows.withColumns({"__key": key_of(), "__length": F.length(F.col("text").cast("string"))}).join(found, "__key", "left")
-    by, overall = thresholds(rows.where("__weight = 1").select("lang", "__figure"))
-    rows = rows.withColumn("__error", F.sqrt(F.col("__variance") / F.col("__length"))).drop("__key", "__length", "__variance", "__weight")
-    rows = rows.join(F.broadcast(by), F.col("lang").cast("string") == F.col("__lang"), "left")  # one row a language.drop("__lang")
-    rows = rows.withColumn("__threshold", F.coalesce("__threshold", F.lit(overall).cast("double")))
-    return rows.withColumn("__keep", F.coalesce(F.col("__figure") - ERRORS * F.col("__error") <= F.col("__threshold"), F.lit(True)))
+    found = written(figures(rows, code_probabilities(grams, order), order), "figures")
+    dropped(grams)
+    # Without the texts, so that what is joined and shuffled is small.
+    small = rows.select("doc_id", "lang", key_of().alias("key"), F.length("text").alias("size"), (F.col("trusted") & (F.col("weight") == (0 if HELD else 1))).alias("sets"))
+    small = written(small.join(found, "key", "left"), "judged")
+    by, overall = thresholds(small.where("sets").select("lang", "figure"))
+    out = small.join(F.broadcast(by), F.col("lang") == F.col("its"), "left")  # one row a language
+    out = out.withColumns({"error": F.sqrt(F.col("variance") / F.col("size")), "threshold": F.coalesce("threshold", F.lit(overall).cast("double"))})
+    keep = F.coalesce(F.col("figure") - ERRORS * F.col("error") <= F.col("threshold"), F.lit(True))
+    return out.select("doc_id", "lang", "key", "figure", "error", "threshold", keep.alias("keep"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return judged(docs, labels).where("__keep").select(*docs.columns)
+    gone = unused(docs, "gone")
+    bad = written(judged(docs, labels).where("not keep").select(F.col("key").alias(gone)).distinct(), "gone")
+    if bad.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        bad = F.broadcast(bad)
+    return docs.join(bad, key_of() == F.col(gone), "left_anti")
 
 
 def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", "lang", F.exp("__figure").alias("perplexity"), F.exp("__threshold").alias("threshold"), F.col("__keep").alias("keep"))
+    rows = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "lang", F.exp("figure").alias("perplexity"), F.exp("threshold").alias("threshold"), "keep")
 
 
 QUERIES = {"op6_quality_lm": op6_quality_lm}

@@ -19,7 +19,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the first base and of its inverse, kept by the worker."""
     kept = worker_cache()
     if len(kept.get("powers", ((),))[0]) < n:
@@ -49,7 +49,7 @@ def hashed(raw: bytes) -> np.ndarray:
         inside[1:-1] = ~SPACE[b]
         edge = np.diff(inside)
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers(len(b) + 1)
+        up, down = powers(len(b) + 1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_letters()[b] * up[: len(b)], out=sums[1:], dtype=np.uint64)
         out.append(mixed((sums[last] - sums[first]) * down[first]))

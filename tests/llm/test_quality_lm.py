@@ -1,85 +1,63 @@
 import math
-import re
-from collections import Counter
+import struct
 
-import numpy as np
-import pytest
+import xxhash
 
 from loomgraph.llm import quality_lm as Q
-
-
-def classes(text, known):
-    out = [49 if ord(c) >= 0x250 else int(known[ord(c)]) for c in text]
-    words = [(m.start(), m.group()) for m in re.finditer(r"[^ \t\r\n]+", text)]
-    for (_, w), (at, x) in zip(words, words[1:]):
-        if w == x:
-            out[at - 1] = Q.REPEATS
-    return tuple(out)
-
-
-def brute(trusted, order):
-    """p(symbol | context) by the textbook's recursion over dictionaries."""
-    known, v = Q.symbol_table(), Q.SYMBOLS
-    top = Counter()
-    for t in trusted:
-        s = (0,) * (order - 1) + classes(t, known)
-        top.update(s[k : k + order] for k in range(len(s) - order + 1))
-    levels = {order: top}
-    for k in range(order - 1, 0, -1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1])
-    cut = {}
-    for k, c in levels.items():
-        n = Counter(c.values())
-        y = n[1] / max(n[1] + 2 * n[2], 1)
-        cut[k] = [min(max(j - (j + 1) * y * n[j + 1] / max(n[j], 1), 0.05), j - 0.01) for j in (1, 2, 3)]
-
-    def p(g):
-        k = len(g)
-        if not k:
-            return 1 / v
-        own = {x: levels[k][g[:-1] + (x,)] for x in range(v) if levels[k][g[:-1] + (x,)]}
-        if not own:
-            return p(g[1:])
-        off = lambda n: cut[k][min(n, 3) - 1] if n else 0
-        return (own.get(g[-1], 0) - off(own.get(g[-1], 0)) + sum(map(off, own.values())) * p(g[1:])) / sum(own.values())
-
-    def figure(t):
-        s = (0,) * (order - 1) + classes(t, known)
-        return sum(-math.log(p(s[k : k + order])) for k in range(len(s) - order + 1)) / len(t)
-
-    return figure
-
-
-TEXTS = ["the cat sat on the mat.", "a cat and a dog, the end\n", "Über den Fluß 12", "", "x", "日本 the cat cat cat", "to  to\nto a a b aa a"]
-
-
-@pytest.mark.parametrize("order", [1, 3])
-def test_same_probabilities_as_the_recursion(spark, order, monkeypatch):
-    monkeypatch.setattr(Q, "SLICE", 5)
-    model = Q.train(spark.createDataFrame([(t,) for t in [*TEXTS, None]], "text string"), order)
-    figure = brute(TEXTS, order)
-    for t in [*TEXTS, "zebra ### !! Q", "the the the cat"]:
-        if t:
-            assert abs(model.figure(t)[0] - figure(t)) < 1e-4
-    assert np.allclose(np.exp(-model.dense()).reshape(-1, Q.SYMBOLS).sum(axis=1), 1, atol=1e-4)
-    assert model.figure("") == (None, None)
+from tests.llm.test_quality_codes import brute
 
 
 def test_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     seen = labels.where("doc_id % 2 = 0")
-    rows = Q.judged(docs, seen).join(labels.where("doc_id % 2 = 1").dropDuplicates(["doc_id"]), "doc_id").select("quality", "__keep").collect()
+    rows = Q.judged(docs, seen).join(labels.where("doc_id % 2 = 1").dropDuplicates(["doc_id"]), "doc_id").select("quality", "keep").collect()
     good, bad = [r[1] for r in rows if r[0] == 1], [r[1] for r in rows if r[0] == 0]
     assert sum(good) >= 0.99 * len(good)
     assert sum(bad) <= 0.2 * len(bad)
 
 
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    marks = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        marks[r.doc_id] = min(marks.get(r.doc_id, 1), r.quality)
+    held = lambda k: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", k), seed=42)))[0] % Q.HELD == 0
+    trusted = [k for k in docs if marks.get(k) == 1]
+    figure = brute([docs[k][0] or "" for k in trusted if not held(k)], Q.ORDER)
+    figures = {k: figure(t) if t else None for k, (t, _) in docs.items()}
+    quantile = lambda x: sorted(x)[math.ceil(Q.QUANTILE * len(x)) - 1] * Q.MARGIN
+    sets = [(docs[k][1], figures[k]) for k in trusted if held(k) and figures[k] is not None]
+    assert len(sets) > 5
+    own = {lang: [f for x, f in sets if x == lang] for lang, _ in sets}
+    limit = {lang: quantile(f) for lang, f in own.items() if len(f) >= Q.FEWEST}
+    overall = quantile([f for _, f in sets])
+    got = Q.op6_quality_lm(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert abs(math.log(r.threshold) - limit.get(r.lang, overall)) < 1e-9
+        assert r.perplexity is None and r.keep if figures[r.doc_id] is None else abs(math.log(r.perplexity) - figures[r.doc_id]) < 1e-9
+        if figures[r.doc_id] is not None and figures[r.doc_id] <= limit.get(r.lang, overall):
+            assert r.keep
+
+
 def test_cases(spark):
-    rows = [(k, "the cat sat on the mat again", "en", 5) for k in range(40)] + [(50, None, "en", 1), (51, "", None, 1), (None, "the cat", None, 1), (52, "#### %%%% $$$$ ZZZZ" * 20, "en", 1), (52, "the mat", "xx", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    rows = [(k, "the cat sat on the mat again", "en", 5, k, "y") for k in range(40)] + [(50, None, "en", 1, 1, "y"), (51, "", None, 1, 1, "y"), (None, "the cat", None, 1, 1, "y"), (52, "#### %%%% $$$$ ZZZZ" * 20, "en", 1, 1, None), (52, "the mat", "xx", 1, 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long, key long, gone string")
+    docs = docs.withColumnsRenamed({"n": "__text", "key": "__key"})
     labels = spark.createDataFrame([(k, 1) for k in range(40)] + [(39, 0), (None, 1), (50, 1)], "doc_id long, quality int")
     kept = Q.filter_documents(docs, labels)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 1
     assert Q.filter_documents(docs, labels.limit(0)).count() == len(rows)
     assert Q.filter_documents(docs.limit(0), labels).count() == 0
+
+
+def test_both_ways_to_reject(spark, monkeypatch):
+    rows = [(k, f"the cat sat on the mat {k}", "en") for k in range(60)] + [(100, "#%$" * 90, "en"), (100, "the cat sat", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(60)], "doc_id long, quality int")
+    want = sorted(r for r in rows if not r[1].startswith("#"))
+    assert sorted(map(tuple, Q.filter_documents(docs, labels).collect())) == want
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, Q.filter_documents(docs, labels).collect())) == want
