@@ -3,20 +3,24 @@
 What is removed: every word inside a window of WINDOW consecutive words whose word sequence also starts in a document with
 a smaller doc_id, as judged on the input.
 
-Index. Each window has an anchor, the least hash among its SHORT-word grams; consecutive windows with one anchor form a
-block. A document has about one block for 18 words. An anchor that occurs in one document only needs nothing more. If all
-blocks of an anchor are equal, the smallest document with it is the reference of the whole block. Otherwise (mostly at the
-ends of passages) each of its windows is looked up by itself.
+Index of reference blocks. Each window has an anchor, the least hash among its SHORT-word grams; consecutive windows with one
+anchor form a block. A document has about one block for 18 words. All blocks of all documents are indexed by anchor, with the
+smallest document that has it and the block's place there. An anchor that stands in one document only needs nothing more. If
+all blocks of an anchor are equal, that place is the reference of the whole block. Otherwise (mostly at the ends of passages)
+each window of these blocks is indexed by itself, in the same way.
 
-Parse. A document is read left to right. A factor takes matched blocks and windows for as long as the next one overlaps it
-and has the same reference; where it ends, that is at every factor boundary, the next window has been looked up by itself,
-so no window that crosses a boundary is missed. A factor has at least WINDOW words and becomes a duplicate span.
+Parse. A document is read left to right. A factor copies from one place of one reference: it starts at the first match that
+ends behind the factor before, takes the match that reaches farthest there, and goes on greedily for as long as the next
+block or window continues at the next word of the same reference. Where a reference stops to agree, that is at every factor
+boundary, the windows that cross it have been looked up by themselves, so factors may overlap and no window is missed. A
+factor has at least WINDOW words and becomes a duplicate span.
 
-Windows and blocks are compared by 128-bit fingerprints of their words' 64-bit hashes.
+Windows are compared by 128-bit fingerprints of their words' 64-bit hashes, blocks by one of 64 bits and their anchor.
 
 Defined cases: a null or empty text has no words; documents under WINDOW words lose nothing. A null doc_id is neither
 smaller nor larger than another: nothing is removed from such rows and they are no reference. Rows that share a doc_id are
-each judged against smaller ids only. Columns that aren't named are ignored, or passed on unchanged by remove().
+each judged against smaller ids only; a factor's place is in one of the reference's rows. Texts of any length are hashed in
+slices. Columns that aren't named are ignored, or passed on unchanged by remove(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import wordhash as H
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import dropped, freed, table, written
 
 WINDOW = 50
 SHORT = 16
+#: Anchors (8 bytes each, to Python workers), windows or factors (some 40 bytes each) are sent to all tasks up to so many;
+#: beyond that both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Texts whose blocks or windows are held at once.
+ROWS = 512
+SEEDS = "doc_id long, th long, start long, size long, ref long, place long"
 
 
 def _anchors(h: np.ndarray, window: int, short: int) -> np.ndarray:
@@ -43,78 +53,158 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate([*parts, np.empty(0, parts[0].dtype if parts else np.int64)])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), text of the rows that have a doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def _blocks_of(h: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first word and number of words of the blocks of a word sequence."""
+    if len(h) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    m = _anchors(h, window, short)
+    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    return m[first], first, np.diff(np.concatenate([first, [len(m)]])) + window - 1
+
+
+def _rows(part: pa.RecordBatch, sizes: list[int], found: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """One row for each element of the arrays in found, with doc_id and th of its document."""
+    at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+    return pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(_signed(np.concatenate([*x, np.empty(0, np.int64 if not x else x[0].dtype)])) for x in found)], names=["doc_id", "th", *names])
 
 
 def blocks(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, th (hash of the text), anchor, print, start, size (words): the blocks of all documents that have a doc_id."""
+    """doc_id, th, anchor, print, start, size (words): the blocks of all documents that have a doc_id."""
 
     def run(batches):
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], [], [], []]
-            for text in batch.column(2):
-                h = H.hashed((text.as_py() or "").encode())
-                if len(h) < window:
-                    first = size = np.empty(0, np.int64)
-                    anchor = prints = np.empty(0, np.uint64)
-                else:
-                    m = _anchors(h, window, short)
-                    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                    size = np.diff(np.concatenate([first, [len(m)]])) + window - 1
-                    anchor, prints = m[first], H.Spans(h).of(first, size, 0)
-                for to, x in zip(found, (anchor, prints, first, size), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_lists(x, pa.int64()) for x in found)], names=["doc_id", "th", "anchor", "print", "start", "size"])
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                found: list[list[np.ndarray]] = [[], [], [], []]
+                for text in part.column(2):
+                    h = H.hashed((text.as_py() or "").encode())
+                    anchor, first, size = _blocks_of(h, window, short)
+                    prints = H.Spans(h).of(first, size, 0) if len(first) else anchor
+                    for to, x in zip(found, (anchor, prints, first, size), strict=True):
+                        to.append(x)
+                yield _rows(part, [len(x) for x in found[0]], found, ["anchor", "print", "start", "size"])
+
+    return _keyed(docs).mapInArrow(freed(run), "doc_id long, th long, anchor long, print long, start long, size long")
+
+
+def windows(docs: DataFrame, anchors: np.ndarray, window: int = WINDOW, short: int = SHORT) -> DataFrame:
+    """doc_id, th, w1, w2, start: each window of the blocks with one of the anchors (sorted)."""
+    shared = docs.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches):
+        wanted = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                found: list[list[np.ndarray]] = [[], [], []]
+                for text in part.column(2):
+                    h = H.hashed((text.as_py() or "").encode())
+                    anchor, first, size = _blocks_of(h, window, short)
+                    mine = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor if len(wanted) else np.zeros(len(anchor), bool)
+                    _windows_of(h, first[mine], size[mine], window, found)
+                yield _rows(part, [len(x) for x in found[0]], found, ["w1", "w2", "start"])
+
+    return _keyed(docs).mapInArrow(freed(run), "doc_id long, th long, w1 long, w2 long, start long")
 
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string"))
-    rows = keyed.mapInArrow(run, "doc_id long, th long, anchor array<long>, print array<long>, start array<long>, size array<long>")
-    return rows.select("doc_id", "th", F.explode(F.arrays_zip("anchor", "print", "start", "size")).alias("b")).select("doc_id", "th", "b.*")
 
+def _windows_of(h: np.ndarray, first: np.ndarray, size: np.ndarray, window: int, found: list[list[np.ndarray]]) -> None:
+    """Fingerprints and starts of the windows of some blocks, which don't share any."""
+    n = size - window + 1
+    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+    spans = H.Spans(h) if len(at) else None
+    for to, x in zip(found, (spans.of(at, window, 0), spans.of(at, window, 1), at) if spans else (np.empty(0, np.uint64), np.empty(0, np.uint64), at), strict=True):
+        to.append(x)
 
-def windows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, th, w1, w2, start: each window of the wanted blocks (doc_id, th, blocks)."""
+
+def windows_by_join(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The same for any number of blocks, which are given by document: wanted has doc_id, th, start, size."""
+    lists = wanted.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size")).alias("blocks"))
 
     def run(batches):
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], [], []]
-            for text, own in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                spans = H.Spans(H.hashed((text.as_py() or "").encode()))
-                at = np.unique(np.concatenate([np.arange(b["start"], b["start"] + b["size"] - window + 1) for b in own]))
-                for to, x in zip(found, (spans.of(at, window, 0), spans.of(at, window, 1), at), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_lists(x, pa.int64()) for x in found)], names=["doc_id", "th", "w1", "w2", "start"])
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                found: list[list[np.ndarray]] = [[], [], []]
+                for text, own in zip(part.column(2), part.column(3), strict=True):
+                    own = sorted((b["start"], b["size"]) for b in own.as_py())
+                    _windows_of(H.hashed((text.as_py() or "").encode()), np.array([b[0] for b in own], np.int64), np.array([b[1] for b in own], np.int64), window, found)
+                yield _rows(part, [len(x) for x in found[0]], found, ["w1", "w2", "start"])
+
+    # rows that repeat an id and a text are one reference as well as several
+    texts = _keyed(docs).dropDuplicates(["doc_id", "th"]).join(lists, ["doc_id", "th"]).select("doc_id", "th", "text", "blocks")
+    return texts.mapInArrow(freed(run), "doc_id long, th long, w1 long, w2 long, start long")
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string")).join(wanted, ["doc_id", "th"])
-    rows = texts.mapInArrow(run, "doc_id long, th long, w1 array<long>, w2 array<long>, start array<long>")
-    return rows.select("doc_id", "th", F.explode(F.arrays_zip("w1", "w2", "start")).alias("w")).select("doc_id", "th", "w.*")
+
+def runs(seeds: DataFrame) -> DataFrame:
+    """Seeds (doc_id, th, start, size, ref, place) with those of a batch made one that continue each other in document and reference."""
+
+    def run(batches):
+        for batch in batches:
+            doc, th, start, size, ref, place = (c.to_numpy() for c in batch.columns)
+            if not len(doc):
+                continue
+            order = np.lexsort((start, place - start, ref, th, doc))
+            doc, th, start, size, ref, place = (x[order] for x in (doc, th, start, size, ref, place))
+            same = np.zeros(len(doc), bool)
+            same[1:] = (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (ref[1:] == ref[:-1]) & (place[1:] - start[1:] == place[:-1] - start[:-1])
+            # the farthest end so far within a line of seeds
+            line = np.cumsum(~same)
+            far = np.maximum.accumulate(start + size + line * (1 << 40)) - line * (1 << 40)
+            new = ~same
+            new[1:] |= start[1:] > far[:-1]
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(doc)]]) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], th[first], start[first], far[last] - start[first], ref[first], place[first])], names=batch.schema.names)
+
+    return seeds.select("doc_id", "th", "start", "size", "ref", "place").mapInArrow(freed(run), SEEDS)
 
 
 def matches(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, th, spans (array of start, size, ref): every matched block and window of each document that has any."""
-    every = blocks(docs, window, short)
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), (F.min("print") != F.max("print")).alias("uneven")).where("ref < last").drop("last")
-    # Both outcomes are small against the blocks; an even block of the reference itself needs nothing.
-    live = written(every.join(shared, "anchor").where("uneven or ref < doc_id").select("doc_id", "th", "start", "size", "ref", "uneven"), "blocks")
-    wanted = live.where("uneven").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size")).alias("blocks"))
-    single = written(windows(docs, wanted, window, short), "windows")
-    first = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last").drop("last")
-    hits = single.join(first, ["w1", "w2"]).where("ref < doc_id").select("doc_id", "th", "start", F.lit(window).cast("long").alias("size"), "ref")
-    spans = live.where("not uneven").select("doc_id", "th", "start", "size", "ref").unionByName(hits)
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", "ref")).alias("spans"))
-
-
-def factors(spans: list[dict]) -> list[tuple[int, int, int]]:
-    """(start, size, reference) of the factors of one document, left to right."""
-    out: list[list[int]] = []
-    for s in sorted((x["start"], x["size"], x["ref"]) for x in spans):
-        if out and s[2] == out[-1][2] and s[0] <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[0] + s[1] - out[-1][0])
+    """doc_id, th, spans (array of start, size, ref, place): what each document that has any shares with smaller ones."""
+    every = written(blocks(docs, window, short), "blocks")
+    least = [F.min("doc_id").alias("ref"), F.min_by("start", "doc_id").alias("place"), F.max("doc_id").alias("last")]
+    shared = every.groupBy("anchor").agg(*least, (F.min("print") != F.max("print")).alias("uneven")).where("ref < last").drop("last")
+    shared = written(shared, "index")
+    uneven = shared.where("uneven").select("anchor")
+    even = _sent(shared.where("not uneven").drop("uneven"))
+    whole = every.join(even, "anchor").where("ref < doc_id")
+    if uneven.count() <= BROADCAST_ROWS:
+        anchors = np.sort(uneven.toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+        single = written(windows(docs, anchors, window, short), "windows")
+    else:
+        single = written(windows_by_join(docs, every.join(uneven, "anchor", "left_semi"), window), "windows")
+    first = single.groupBy("w1", "w2").agg(*least).where("ref < last").drop("last")
+    hits = single.join(_sent(written(first, "index")), ["w1", "w2"]).where("ref < doc_id").withColumn("size", F.lit(window).cast("long"))
+    seeds = written(runs(whole).unionByName(runs(hits)), "seeds")
+    dropped(every, single)
+    return seeds.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", "ref", "place")).alias("spans"))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows (of a written table), to be broadcast where they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def factors(spans: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(start, size, reference, place there) of the factors of one document, left to right."""
+    lines: dict[tuple[int, int], list[list[int]]] = {}
+    for start, size, ref, place in sorted((x["start"], x["size"], x["ref"], x["place"]) for x in spans):
+        own = lines.setdefault((ref, place - start), [])
+        if own and start <= own[-1][0] + own[-1][1]:  # goes on in the same place
+            own[-1][1] = max(own[-1][1], start + size - own[-1][0])
         else:
-            out.append([*s])
-    return [tuple(x) for x in out]
+            own.append([start, size, ref, place])
+    out: list[tuple[int, int, int, int]] = []
+    for f in sorted((f for own in lines.values() for f in own), key=lambda f: (f[0], -f[1], f[2])):
+        if not out or f[0] + f[1] > out[-1][0] + out[-1][1]:
+            out.append(tuple(f))
+    return out
 
 
 def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, list[bytes]]:
@@ -123,27 +213,29 @@ def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, list[by
     if not spans:
         return len(found), found
     gone = np.zeros(len(found) + 1, np.int64)
-    for start, size, _ in factors(spans):
+    for start, size, *_ in factors(spans):
         gone[start] += 1
         gone[start + size] -= 1
     return len(found), [found[k] for k in np.flatnonzero(np.cumsum(gone)[:-1] == 0).tolist()]
 
 
-def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    found = matches(docs, window).withColumnsRenamed({"doc_id": "__id", "th": "__th", "spans": "__spans"})
-    return keyed.join(found, ["__id", "__th"], "left")
+def _with_spans(rows: DataFrame, window: int) -> DataFrame:
+    """rows, which have doc_id (long) and text (string) besides columns of other names than th and spans, with th and spans."""
+    found = written(matches(rows, window), "spans")
+    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:  # else the texts are shuffled
+        found = F.broadcast(found)
+    return rows.withColumn("th", F.xxhash64("text")).join(found, ["doc_id", "th"], "left")
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, size, ref_doc_id: one row for each factor, in words."""
+    """doc_id, start, size, ref_doc_id, ref_start: one row for each factor, in words."""
 
     def run(batches):
         for batch in batches:
             rows = [(k, *f) for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in factors(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["doc_id", "start", "size", "ref_doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "start", "size", "ref_doc_id", "ref_start"])
 
-    return matches(docs, window).select("doc_id", "spans").mapInArrow(run, "doc_id long, start long, size long, ref_doc_id long")
+    return matches(docs, window).select("doc_id", "spans").mapInArrow(run, "doc_id long, start long, size long, ref_doc_id long, ref_start long")
 
 
 def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -159,21 +251,23 @@ def summary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text"), window)
-    return rows.select("__id", F.col("text").cast("string"), "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window)
+    return rows.select("doc_id", "text", "spans").mapInArrow(freed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the duplicate spans cut from text (words joined by one blank); rows that lose nothing keep their text as it is, rows that lose every word go.
 
     Other columns stay, but n_chars, if there, becomes the length of the new text."""
-    kinds = dict(docs.dtypes)
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    names, kinds = docs.columns, [t for _, t in docs.dtypes]
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    own_id, own_text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    rest = [f"c{k}" for k, c in enumerate(names) if c not in ("text", "n_chars")]
 
     def run(batches):
         for batch in batches:
             texts, stays = [], []
-            for text, own in zip(batch.column("text"), batch.column("__spans"), strict=True):
+            for text, own in zip(batch.column("text"), batch.column("spans"), strict=True):
                 if not own.is_valid:
                     texts.append(text.as_py())
                     stays.append(True)
@@ -181,14 +275,15 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     _, kept = kept_words(text.as_py(), own.as_py())
                     texts.append(b" ".join(kept).decode())
                     stays.append(bool(kept))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"]).filter(pa.array(stays, pa.bool_()))
-
-    rows = _with_spans(docs, window)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", text string"
-    cut = rows.select(*names, F.col("text").cast("string").alias("text"), "__spans").mapInArrow(run, schema)
-    if "n_chars" in kinds:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
-    return cut.select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, own_text]).filter(pa.array(stays, pa.bool_()))
+
+    rows = _with_spans(plain.select(*rest, F.col(own_id).cast("long").alias("doc_id"), F.col(own_text).cast("string").alias("text")), window)
+    schema = ", ".join(f"{c} {kinds[int(c[1:])]}" for c in rest) + f", {own_text} string"
+    cut = rows.select(*rest, "text", "spans").mapInArrow(freed(run), schema)
+    if "n_chars" in names:
+        at = names.index("n_chars")
+        cut = cut.withColumn(f"c{at}", F.char_length(own_text).cast(kinds[at]))
+    return cut.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import substring_dedup as S
 
@@ -44,11 +46,13 @@ def planted(seed, n=150):
     return docs
 
 
-def test_against_brute_force(spark):
-    for seed in (0, 1):
-        docs = planted(seed)
-        df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, th string, spans int")
-        assert sorted(map(tuple, S.summary(df).collect()), key=str) == brute(docs, 50)
+@pytest.mark.parametrize("rows", [S.BROADCAST_ROWS, 0])
+def test_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(S, "ROWS", 7)
+    docs = planted(0 if rows else 1)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, th string, spans int")
+    assert sorted(map(tuple, S.summary(df).collect()), key=str) == brute(docs, 50)
 
 
 def test_query_against_brute_force(spark):
@@ -59,9 +63,25 @@ def test_query_against_brute_force(spark):
 
 def test_remove_and_factors(spark):
     docs = planted(3)
-    df = spark.createDataFrame([(d, t, len(t or ""), "l") for d, t in docs], "doc_id long, text string, n_chars long, lang string")
+    df = spark.createDataFrame([(d, t, len(t or ""), "l", 1) for d, t in docs], "doc_id long, text string, n_chars long, th string, spans int")
     want = {(d, s) for d, n, gone, s in brute(docs, 50) if not gone or gone < n}
-    got = S.remove(df).collect()
+    got = S.remove(df.withColumn("__th", F.lit(2)).withColumn("c0", F.lit(3))).collect()
     assert {(r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in got} == want
-    assert all(f.size >= 50 and f.ref_doc_id < f.doc_id for f in S.duplicate_factors(df).collect())
+    assert all(r.n_chars == len(r.text) for r in got if r.text is not None) and {(r.th, r.spans, r["__th"], r.c0) for r in got} == {("l", 1, 2, 3)}
+    texts = {}
+    for d, t in docs:
+        texts.setdefault(d, []).append((t or "").split())
+    found = S.duplicate_factors(df).collect()
+    assert found
+    for f in found:  # a factor stands in its reference as one passage
+        own = [tuple(w[f.start : f.start + f.size]) for w in texts[f.doc_id]]
+        assert f.size >= 50 and f.ref_doc_id < f.doc_id
+        assert any(tuple(w[f.ref_start : f.ref_start + f.size]) in own for w in texts[f.ref_doc_id])
     assert S.summary(df.limit(0)).count() == 0
+
+
+def test_factors_go_on_while_the_reference_does():
+    seed = lambda start, size, ref, place: dict(start=start, size=size, ref=ref, place=place)
+    assert S.factors([seed(1, 50, 7, 11), seed(0, 50, 7, 10), seed(2, 50, 7, 12)]) == [(0, 52, 7, 10)]
+    # another reference takes over: windows that cross the boundary belong to it; one inside a factor adds nothing
+    assert S.factors([seed(0, 60, 7, 10), seed(5, 50, 3, 0), seed(20, 50, 3, 90), seed(100, 50, 7, 110)]) == [(0, 60, 7, 10), (20, 50, 3, 90), (100, 50, 7, 110)]
