@@ -4,14 +4,14 @@ import numpy as np
 from loomgraph.llm import vector_search as V
 
 
-def brute(rows, k):
+def brute(rows, k, limit=lambda s: s):
     fine = [(i, tuple(int(np.floor(64 * float(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for n, (i, q) in enumerate(fine):
         if i % 20 == 0:
             others = list(fine)
             others.remove((i, q))
-            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in others if len(c) == len(q))[:k]
+            best = sorted((-limit(sum(a * b for a, b in zip(q, c))), j) for j, c in others if len(c) == len(q))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -22,7 +22,7 @@ def run(spark, rows, k=20, **more):
     return sorted(map(tuple, V.top_k(v, v.where("vec_id % 20 = 0"), k, **more).collect()))
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(k, [float(x) for x in rng.normal(size=8) / 3]) for k in range(300)]
     rows += [(1000 + k, rows[3][1]) for k in range(60)] + [(2000 + 20 * k, rows[20][1]) for k in range(40)]
@@ -30,6 +30,11 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows, 20)
     assert run(spark, rows, 3, bits=4, cell_block=50, query_block=7) == brute(rows, 3)
     assert run(spark, rows[:5], 20) == brute(rows[:5], 20)
+    large = [20000.0, -3.0e9, 1.5e18, 0.25]
+    rows += [(6000 + k, [large[k % 4], *rows[k][1][1:]]) for k in range(30)]
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 900)
+    limit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    assert run(spark, rows, 4, cell_block=64, query_block=3) == brute(rows, 4, limit)
     assert run(spark, [(0, None)]) == []
 
 
@@ -43,6 +48,11 @@ def test_query_against_sql(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    q, v = rng.integers(-40, 40, (9, 16)), rng.integers(-40, 40, (50, 16))
-    low, high = V.bounds(q, v >> 3, 3)
-    assert (low <= q @ v.T).all() and (q @ v.T <= high).all()
+    q, v = rng.integers(-40, 40, (9, 16)).astype(float), rng.integers(-40, 40, (50, 16)).astype(float)
+    v[3:6] *= 1 << 20
+    v[7] *= 2.0**70
+    cells, wide = V.cells_of(v, 3)
+    assert cells.dtype == np.int8 and wide.max() > 60 and set(wide[8:]) == {3}
+    low, high = V.bounds(q, cells, wide)
+    want = np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in v] for x in q], dtype=object)
+    assert (low <= want).all() and (want <= high).all()
