@@ -53,6 +53,8 @@ WAITING = 1 << 20
 ROWS = 256
 #: Nodes that a task remembers.
 DONE = 1 << 18
+#: Pairs of one node that a task compares.
+GROUP = 4096
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -158,6 +160,11 @@ def prefixes(docs: DataFrame, last: "tuple[np.ndarray, np.ndarray]", n: int = WO
     return _texts(docs).where("doc_id is not null").select("text").mapInArrow(freed(run), "token long, node long, place long")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows (a written table), to be broadcast where they are few enough; else joins shuffle both sides."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _size(name: str) -> F.Column:
     return F.shiftright(F.col(name), 32)
 
@@ -168,28 +175,35 @@ def _near(x: str, y: str, percent: int) -> F.Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough. texts: node, text."""
-
-    def run(batches):
-        kept: dict[int, np.ndarray] = {}
+    """Of pairs (a, b), those whose sets are similar enough. texts: node, text; a node's text may come more than once.
 
-        def of(node: int, text) -> np.ndarray:
-            if node not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                kept[node] = shingles(text.as_py(), n)
-            return kept[node]
+    Each text is shuffled once as an a and once as a b: the pairs of one b go to one task, or to several, each with b's text,
+    where they are more than GROUP."""
+    many = written(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "many")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP)), F.lit(0)).cast("long")
+    dealt = written(pairs.join(_sent(many), "b", "left").select("a", "b", part.alias("part")), "dealt")
+    left = texts.join(_sent(dealt), F.col("node") == F.col("a")).select("b", "part", "a", "text")
+    right = texts.join(_sent(written(dealt.select("b", "part").distinct(), "heads")), F.col("node") == F.col("b")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
 
+    def run(batches):
+        now, head = None, None
         for batch in batches:
-            stays = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                s, t = of(a, x), of(b, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                stays.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(stays, pa.bool_()))
-
-    rows = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "y"}), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long")
+            for begin in range(0, batch.num_rows, ROWS):
+                found: list[tuple[int, int]] = []
+                rows = batch.slice(begin, ROWS)
+                for b, part, a, text in zip(*(rows.column(k).to_pylist() for k in range(3)), rows.column(3), strict=True):
+                    own = shingles(text.as_py(), n)
+                    if a is None:
+                        now, head = (b, part), own
+                    elif now == (b, part):
+                        both = len(np.intersect1d(own, head, assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(head) - both):
+                            found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    # in a partition, b's own text comes before the texts that are compared with it
+    rows = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return rows.mapInArrow(freed(run), "a long, b long")
 
 
 def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: int = PERCENT, most: int = MOST, cost: int = COST) -> tuple[DataFrame, DataFrame]:
@@ -200,23 +214,22 @@ def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: in
     order = np.argsort(tokens)
     first = prefixes(docs, (tokens[order], top["seen"].to_numpy(np.int64)[order]), n, percent, most)
 
-    # Shingles of one node only meet nothing. A node that several tasks have given makes a count of two, too: it goes below.
-    often = first.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1").select("token")
-    live = written(first.join(often, "token", "left_semi").distinct(), "postings")
-    lists = live.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
-    live = written(live.join(lists, "token").select("token", "node", "met", _size("place").alias("size"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")), "postings")
+    # One shuffle: a token's rows meet in one task, where a node that several tasks have given becomes one row, and shingles
+    # of one node only, which meet nothing, go. A token has at most one row for each node, a small part of all rows.
+    each = first.repartition("token").dropDuplicates(["token", "node"]).withColumn("met", F.count("*").over(W.partitionBy("token"))).where("met > 1")
+    met_rows = written(each.select("token", "node", "met", _size("place").alias("size"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")), "postings")
 
     # l, by the rows that the prefix for l = 1 meets.
     needed = -F.floor(-F.col("size") * percent / 100)
-    met = live.groupBy("node", "size").agg(F.sum(F.when(F.col("at") <= F.col("size") - needed, F.col("met") - 1).otherwise(0)).alias("met"))
-    level = F.when(F.col("met") < cost, 1).otherwise(F.floor(F.log2(F.col("met") / cost)) + 2)
-    level = met.select("node", F.greatest(F.lit(1), F.least(level, F.lit(most), needed)).cast("long").alias("l"))
-    live = live.join(level, "node").where(F.col("at") < F.col("size") - needed + F.col("l")).select("token", "node", "size", "at", (needed - F.col("l")).cast("long").alias("left"))
+    met = met_rows.groupBy("node", "size").agg(F.sum(F.when(F.col("at") <= F.col("size") - needed, F.col("met") - 1).otherwise(0)).alias("cost"))
+    level = F.when(F.col("cost") < cost, 1).otherwise(F.floor(F.log2(F.col("cost") / cost)) + 2)
+    levels = written(met.select("node", "cost", F.greatest(F.lit(1), F.least(level, F.lit(most), needed)).cast("long").alias("l")), "levels")
+    prefix = met_rows.drop("met").join(_sent(levels), "node").where(F.col("at") < F.col("size") - needed + F.col("l"))
 
     # Round one: of each list, the node whose prefix meets most (in a group of near copies, what they are copies of).
-    live = live.join(met.select("node", F.struct("met", "node").alias("rank")), "node")
-    heads = live.groupBy("token").agg(F.max("rank").alias("head")).select("token", F.col("head.node").alias("head"))
-    live = written(live.join(heads, "token"), "postings")
+    head = F.max(F.struct("cost", "node")).over(W.partitionBy("token"))["node"]
+    live = written(prefix.select("token", "node", "size", "at", (needed - F.col("l")).cast("long").alias("left"), head.alias("head")), "postings")
+    dropped(met_rows, levels)
     stars = live.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("both"))
     best = W.partitionBy("node").orderBy(F.desc("both"), "head")
     stars = stars.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -224,16 +237,14 @@ def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: in
 
     # The texts of all nodes that meet another one.
     chosen = found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(live.select("node").distinct(), "node", "left_semi")
-    chosen = written(chosen, "chosen")
-    if chosen.count() <= BROADCAST_ROWS:  # else both sides are shuffled
-        chosen = F.broadcast(chosen)
+    chosen = _sent(written(chosen, "chosen"))
 
     def right(batches):
-        for batch in batches:
+        for batch in batches:  # rows that share an id may have other texts
             mine = [node_of(s) == k if len(s := shingles(t.as_py(), n)) else False for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield batch.filter(pa.array(mine, pa.bool_()))
 
-    texts = written(_texts(docs).join(chosen, "doc_id").select("node", "text").mapInArrow(freed(right), "node long, text string").dropDuplicates(["node"]), "texts")
+    texts = written(_texts(docs).join(chosen, "doc_id").select("node", "text").mapInArrow(freed(right), "node long, text string"), "texts")
     links = written(verified(stars, texts, n, percent), "links")
     one = components(links)
 
@@ -255,7 +266,7 @@ def node_links(docs: DataFrame, surveyed: DataFrame, n: int = WORDS, percent: in
     asked = overlap(F.col("size_a") + F.col("size_b")) - F.greatest("left_a", "left_b")
     cross = met_once.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= asked).select("a", "b")
     more = written(verified(written(cross, "pairs"), texts, n, percent), "links")
-    dropped(stars, rest, live)
+    dropped(stars, rest, live, texts)
     every = links.unionByName(more)
     return every, components(every)
 
@@ -288,9 +299,7 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     """docs without the documents of a component other than that with the smallest doc_id. Rows with null ids or empty sets stay; of repeated rows of one doc_id, all stay."""
     its = unused(docs, "gone")
     gone = written(classes(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(its)).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:  # else both sides are shuffled
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(its), "left_anti")
+    return docs.join(_sent(gone), F.col("doc_id").cast("long") == F.col(its), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

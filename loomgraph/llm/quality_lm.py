@@ -147,7 +147,7 @@ def code_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order - 1, 0, -1):
         levels[k] = written(levels[k + 1].groupBy(_suffix(k).alias("context"), "symbol").agg(F.count("*").alias("n")), "counts")
         asked[k] = written(asked[k + 1].select(_suffix(k).alias("context"), "symbol").distinct(), "asked")
-    out = None
+    out, older = None, []
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(levels[k])
         rows = levels[k].withColumn("off", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
@@ -159,7 +159,8 @@ def code_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
             below = out.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("low"))
             found = found.withColumn("suffix", _suffix(k - 1)).join(below, ["suffix", "symbol"])
         p = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("open") / F.col("total"), F.lit(1.0)) * F.col("low")
-        out = written(found.select("context", "symbol", p.alias("p")), "level")
+        older.append(out := written(found.select("context", "symbol", p.alias("p")), "level"))
+    dropped(*older[:-1], *(x for k in range(1, order) for x in (levels[k], asked[k])))
     return out
 
 
@@ -229,11 +230,13 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, key, figure, error, threshold, keep of every row."""
     rows = prepared(docs, labels)
     grams = written(code_counts(rows, order), "grams")
-    found = written(figures(rows, code_probabilities(grams, order), order), "figures")
-    dropped(grams)
+    probabilities = code_probabilities(grams, order)
+    found = written(figures(rows, probabilities, order), "figures")
+    dropped(grams, probabilities)
     # Without the texts, so that what is joined and shuffled is small.
     small = rows.select("doc_id", "lang", key_of().alias("key"), F.length("text").alias("size"), (F.col("trusted") & (F.col("weight") == (0 if HELD else 1))).alias("sets"))
     small = written(small.join(found, "key", "left"), "judged")
+    dropped(found)
     by, overall = thresholds(small.where("sets").select("lang", "figure"))
     out = small.join(F.broadcast(by), F.col("lang") == F.col("its"), "left")  # one row a language
     out = out.withColumns({"error": F.sqrt(F.col("variance") / F.col("size")), "threshold": F.coalesce("threshold", F.lit(overall).cast("double"))})
