@@ -1,4 +1,5 @@
 import re
+import time
 
 from loomgraph.llm import license_scan as L
 
@@ -13,7 +14,7 @@ def brute(text):
     s = " " + " ".join(words) + " "
     found = []
     for no, (label, regex, word, priority, confidence, is_base) in enumerate(L.rules()):
-        if re.search(word, s):
+        if all(any(f" {w}" in s for w in group.split("|")) for group in word):
             for m in re.finditer(regex, s):
                 found.append((s[: m.start()].count(" ") - 1, s[: m.end()].count(" ") - 1, label, priority, confidence, is_base, no))
     stays = []
@@ -33,16 +34,12 @@ TEXTS = [
 ]
 
 
-def test_rules_are_hundreds_and_gated():
-    assert len(L.rules()) > 300
-    for text in TEXTS:
-        s = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())) + " "
-        if any(re.search(x, s) and re.search(w, s) for _, x, w, *_ in L.rules()):
-            assert re.search(L.gate(), s)
+def test_rules_are_hundreds():
+    assert len(L.SIGNATURES) > 150 and len(L.rules()) > 500
 
 
 def check(spark, rows):
-    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, detections string")
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, detections string, words int")
     got = sorted((tuple(r) for r in L.summary(df).collect()), key=str)
     assert got == sorted(((k, *brute(t)) for k, t in rows), key=str)
 
@@ -57,3 +54,19 @@ def test_query(spark):
     got = L.op2_license_scan(spark, d)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, *brute(t)) for k, t in docs), key=str)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extra_columns_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "Licensed under CC BY 4.0", 5, 6, 7, 8)], "doc_id long, text string, words int, line int, held int, found int")
+    row = L.scan(df).first()
+    assert (row.words, row.line, row.held, row.found, row.n_words) == (5, 6, 7, 8, 6) and {d.label for d in row.detections if d.stays} == {"cc-by-4.0"}
+    assert L.summary(df.limit(0)).count() == 0
+
+
+def test_a_megabyte_of_matches(spark):
+    n = 100_000
+    df = spark.createDataFrame([(1, "CC-BY mit license. " * n)], "doc_id long, text string")
+    began = time.time()
+    r = L.summary(df).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (4 * n, n, 0, 4 * n - 4) and r.labels == "cc-by,mit"
+    assert time.time() - began < 120
