@@ -1,3 +1,6 @@
+import duckdb
+import pytest
+
 from loomgraph.llm import url_filter as U
 
 
@@ -47,9 +50,29 @@ def test_templates_and_purity(spark):
     assert {r.verdict for r in none} == {"allow"}
 
 
-def test_query(spark):
-    d = "/root/testdata/sf0.01"
+def test_branches_merge_at_inner_levels(spark, monkeypatch):
+    rows = [(f"http://h/shop/{lang}/{k}", lang == "spam") for lang in ("en", "de", "fr", "spam") for k in range(20)] + [(f"http://h/shop/new/{k}", None) for k in range(5)]
+    df = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(rows)], "page_id long, url string, b boolean")
+    for limit in (U.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(U, "BROADCAST_ROWS", limit)
+        got = {r.path.rsplit("/", 1)[0]: (r.template, r.verdict) for r in U.judge(df, rules=[], label_col="b").collect()}
+        assert got["/shop/spam"] == ("/shop/spam/*", "block") and got["/shop/new"] == ("/shop/new/*", "allow")
+        assert all(got[f"/shop/{x}"][1] == "allow" for x in ("en", "de", "fr"))
+    # a tree whose branches are alike is one template
+    df = df.where("b is not null and not b")
+    assert {r.template for r in U.judge(df, rules=[], label_col="b").collect()} == {"/shop/*/*"}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{d}/pages.parquet'")
+    found = U.op8_url_filter(spark, d)
+    sql = con.execute(U.ORACLES["op8_url_filter"])
+    assert [x[0] for x in sql.description] == found.columns
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(sql.fetchall())
     want = sorted((p, *parsed(u), *ruled(*parsed(u))) for p, u in [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").collect()])
-    got = sorted(map(tuple, U.op8_url_filter(spark, d).collect()))
     assert [r[:4] for r in got] == [w[:4] for w in want]
     assert all(w[4] is None or w[4] == r[4] for r, w in zip(got, want, strict=True))
