@@ -2,7 +2,8 @@
 
 A text is cut at single spaces that stand between two characters that aren't white space. The splitting pattern always
 starts a new piece there, so each chunk's ids are the same wherever it stands; they are encoded once per worker and kept in
-a bounded dictionary. A text's ids are the chunks' ids in a row.
+a bounded dictionary. A text's ids are the chunks' ids in a row. Such chunks are only right for the known splitting pattern; with
+another pattern or another .json, whole texts go to the library.
 
 Defined cases: a null text counts as empty (no ids, digests of nothing); a null doc_id stays null; repeated rows are
 encoded each; columns that aren't named are ignored, whatever their names; an empty table gives no rows. Texts of any
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, worker_cache
+from loomgraph.llm.common import freed, table, worker_cache
 
 SLICE = 1 << 20
 #: Chunks kept by a worker (about 200 bytes each); beyond that it starts anew.
 KEPT_CHUNKS = 1_000_000
+#: Texts that are held at once.
+ROWS = 256
 #: Below this, all versions of Unicode agree on what letters are.
 LATIN_END = "\u0250"
 #: A word and the marks after it are two pieces (an apostrophe may not be); most chunks are made of known ones.
@@ -64,8 +68,8 @@ def tokenizer_of_ranks(ranks: dict[bytes, int], pattern: str):
 class ChunkCodec:
     """Encodes texts to ids by chunks, and decodes ids by the byte table of the vocabulary."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, chunks: bool = True):
+        self.tokenizer, self.chunks = tokenizer, chunks
         back = {c: b for b, c in byte_table().items()}
         vocab = tokenizer.get_vocab(with_added_tokens=False)
         self.pieces: list[bytes] = [b""] * (max(vocab.values(), default=-1) + 1)
@@ -75,6 +79,7 @@ class ChunkCodec:
         self.pieces += [b""] * (max(added, default=-1) + 1 - len(self.pieces))
         for k, token in added.items():
             self.pieces[k] = token
+        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
         # Without added tokens in it, a chunk needs only the model, which is faster by itself.
         from tokenizers import Tokenizer
 
@@ -133,6 +138,8 @@ class ChunkCodec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not self.chunks:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         out = []
         for part, begun in self._slices(text):
             chunks = self.cut.split(part) if self.loose.search(part) else part.split(" ")
@@ -155,7 +162,7 @@ class ChunkCodec:
     def spans(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each token's first and last byte (exclusive), and the characters these bytes touch (first, last exclusive)."""
         raw = np.frombuffer(text.encode(), np.uint8)
-        sizes = np.array([len(self.pieces[k]) for k in np.frombuffer(ids, "<u4").tolist()], np.int64)
+        sizes = self.sizes[np.frombuffer(ids, "<u4")]
         end = np.cumsum(sizes)
         begin = end - sizes
         starts = (raw & 0xC0) != 0x80
@@ -174,9 +181,10 @@ def codec(path: str | None = None, pattern: str | None = None) -> ChunkCodec:
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
-            kept[path, pattern] = ChunkCodec(Tokenizer.from_file(path))
+            kept[path, pattern] = ChunkCodec(Tokenizer.from_file(path), os.path.basename(path) == "byte_bpe_50k.json")
         else:
-            kept[path, pattern] = ChunkCodec(tokenizer_of_ranks(read_ranks(path), pattern or public_tokenizers.PATTERN))
+            pattern_used = pattern or public_tokenizers.PATTERN
+            kept[path, pattern] = ChunkCodec(tokenizer_of_ranks(read_ranks(path), pattern_used), pattern_used == public_tokenizers.PATTERN)
     return kept[path, pattern]
 
 
@@ -219,20 +227,26 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
 
 
 def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded, then decoded, a batch at a time, with digests only as the result."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split, offsets_sha256 of every text: encoded, then decoded, some texts at a time, with digests only as the result.
+
+    n_split counts the tokens that begin inside a character; offsets_sha256 is of all tokens' first and last (exclusive) byte,
+    then all their first and last character, as little-endian 64-bit integers."""
 
     def run(batches):
         enc = codec(path, pattern)
-        for batch in batches:
-            n, ids_sha, raw_sha = [], [], []
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            out: list[tuple] = []
             for text in batch.column(1):
-                ids = enc.encode(text.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                raw_sha.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                text = text.as_py() or ""
+                ids = enc.encode(text)
+                spans = enc.spans(text, ids)
+                begins_inside = int(((np.frombuffer(text.encode(), np.uint8)[spans[0]] & 0xC0) == 0x80).sum()) if ids else 0
+                offsets = hashlib.sha256(b"".join([np.stack(x, axis=1).astype("<i8").tobytes() for x in (spans[:2], spans[2:])]))
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest(), begins_inside, offsets.hexdigest()))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "offsets_sha256"])
+
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Every document (its ids, then the end id) becomes one piece, or several where it
 dealt at random into groups of about GROUP pieces; within a group they go, longest first, each into the open sequence that
 scores best among those with room in every dimension: tokens, number of pieces, attention cost (sum of squared lengths).
 The score is the weighted residual norm after placing (least wins) or the weighted dot product of demand and room (most
-wins). A group leaves about one sequence part empty, so the loss against packing all pieces at once is about 1 in 3,000.
+wins), over all three dimensions (WEIGHTS). By itself the capacity on tokens bounds the others: there are at most as many pieces as tokens, and
+the sum of squares is at most the square of the sum. Smaller capacities bind; a piece that is beyond the one on attention by
+itself takes a sequence alone. A group leaves about one sequence part empty, so the loss against packing all pieces at once is about 1 in 3,000.
 
 Defined cases: a null text counts as empty (one piece, the end id alone); null or repeated doc_ids are kept, each row
 being a document; columns that aren't named are ignored; an empty table gives no rows. Ties go to the sequence that was
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -24,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe_codec import codec
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import freed, table, written
 
 LENGTH = 2048
 #: Pieces that are packed together, on average.
 GROUP = 8192
+#: Of tokens, pieces and attention cost, in the score.
+WEIGHTS = (1.0, 0.3, 0.3)
+#: Texts whose pieces are held at once.
+ROWS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
@@ -45,7 +52,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, path: str | N
 
     def run(batches):
         enc, end = codec(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = enc.encode(text.as_py() or "") + end
@@ -56,11 +63,11 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, path: str | N
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: Sequence[float], weights: Sequence[float], score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """The bin and the offset of each piece. capacity: tokens, pieces, attention cost; each piece alone must fit."""
+    """The bin and the offset of each piece. capacity: tokens, pieces, attention cost; each piece alone must fit in the first two."""
     order = np.argsort(-lengths, kind="stable")
     limit, weight = np.asarray(capacity, float), np.asarray(weights, float)
     place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -71,7 +78,7 @@ def best_fit(lengths: np.ndarray, capacity: Sequence[float], weights: Sequence[f
     for done, k in enumerate(order):
         size = float(lengths[k])
         need = np.array([size, 1.0, size * size]) / limit
-        if (need > 1).any():
+        if (need[:2] > 1).any():
             raise ValueError(f"a piece of {int(size)} tokens is beyond a sequence's capacities")
         best = -1
         if n_open:
@@ -94,13 +101,13 @@ def best_fit(lengths: np.ndarray, capacity: Sequence[float], weights: Sequence[f
     return place, offset
 
 
-def pack(found: DataFrame, length: int = LENGTH, max_pieces: int | None = None, max_attention: float | None = None, weights: Sequence[float] = (1.0, 1e-6, 1e-3), score: str = "norm", group: int = GROUP) -> DataFrame:
+def pack(found: DataFrame, length: int = LENGTH, max_pieces: int | None = None, max_attention: float | None = None, weights: Sequence[float] = WEIGHTS, score: str = "norm", group: int = GROUP) -> DataFrame:
     """found (rows of pieces(), computed once) with sequence_id and offset. The capacities besides length default to what any full sequence has, and so don't bind."""
     capacity = (float(length), float(max_pieces or length), float(max_attention or length * length))
     groups = max(1, -(-found.count() // group))
     names = found.columns
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
         place, offset = best_fit(rows["length"].to_numpy(), capacity, weights, score)
         return rows[names].assign(sequence_id=(np.int64(key[0]) << 32) + place, offset=offset)
@@ -115,8 +122,8 @@ def sequences(placed: DataFrame) -> DataFrame:
     return placed.groupBy("sequence_id").agg(rows.alias("rows")).select("sequence_id", F.flatten(F.col("rows.ids")).alias("ids"), F.col("rows.doc_id").alias("doc_ids"), F.col("rows.offset").alias("offsets"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(written(pieces(docs), "pieces"))
+def pack_documents(docs: DataFrame, max_pieces: int | None = None, max_attention: float | None = None) -> DataFrame:
+    return pack(written(pieces(docs), "pieces"), max_pieces=max_pieces, max_attention=max_attention)
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ key is computed anew from the stored bytes, and the payload digest must be that
 Defined cases: a null html is an empty payload, a null url has no target line, line ends inside a url are percent-encoded.
 Of rows with equal payloads, one is the response: the smallest page_id, then the smallest url, then the first read (a null
 page_id or url comes last), so repeated rows revisit each other. Columns that aren't named are ignored. An empty table
-makes an empty archive. The payloads of a key meet in partial aggregates, so that a very common one is sent once a task.
+makes an empty archive. Very long payloads are kept whole, a row each. The payloads of a key meet in partial aggregates, so that a very common one is sent once a task.
 """
 
 from __future__ import annotations
@@ -142,4 +142,16 @@ def op4_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_warc_store": op4_warc_store}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_warc_store": """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, payload, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p
+)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+}

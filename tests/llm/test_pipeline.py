@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import corpus_pipeline as C
 from tests.llm import test_ngram_join as N
@@ -30,7 +31,9 @@ def test_stages_against_brute_force(spark):
     assert cut.columns == columns and {(r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in cut.collect()} == want
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 
-    P.check([(r.doc_id, r.text) for r in cut.collect()], C.STAGES[3][1](spark, cut, D).collect())
+    packed = C.STAGES[3][1](spark, cut, D).collect()
+    P.check([(r.doc_id, r.text) for r in cut.collect()], packed)
+    assert max(Counter(r.sequence_id for r in packed).values()) <= C.MAX_PIECES
 
 
 def test_run(spark):

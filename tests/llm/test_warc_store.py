@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import duckdb
 import pytest
 
 from loomgraph.llm import warc_store as A
@@ -57,3 +58,13 @@ def test_empty_and_query(spark):
     d = "/root/testdata/sf0.001"
     pages = [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(map(tuple, A.op4_warc_store(spark, d).collect()), key=str) == brute(pages)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_against_sql(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{d}/pages.parquet'")
+    found, sql = A.op4_warc_store(spark, d), con.execute(A.ORACLES["op4_warc_store"])
+    assert [x[0] for x in sql.description] == found.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(sql.fetchall(), key=str)
