@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm import ngram_join, packing, quality_lm, substring_dedup
 from loomgraph.llm.common import table, written
 
+#: Documents (or parts of such) in a sequence, at most.
+MAX_PIECES = 64
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; null and empty texts stay."""
@@ -29,8 +32,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents with their places in sequences, of which none has more than MAX_PIECES."""
+    return packing.pack_documents(docs, max_pieces=MAX_PIECES)
 
 
 STAGES = [("quality_classifier", keep_good), ("ngram_jaccard_join", keep_one_of_each), ("substring_dedup", cut_repeats), ("best_fit_packing", pack)]
