@@ -81,7 +81,8 @@ def least(a: Table, b: Table) -> Table:
     keys, fill = list(a.keys), lambda t: F.lit(t.fill).cast(t.dtype)
     joined = a.df.join(b.df.withColumnRenamed("v", "w"), keys, "full")
     df = joined.select(*keys, minimum(F.coalesce("v", fill(a)), F.coalesce("w", fill(b))).alias("v"))
-    return replace(a, df=df, fill=min(a.fill, b.fill))
+    layout = "dense" if "dense" in (a.layout, b.layout) else "sparse"
+    return replace(a, layout=layout, fill=min(a.fill, b.fill))._settled(df)
 
 
 def differences(a: Table, b: Table):

@@ -1,14 +1,14 @@
 """Queries over the driver's tables, one or more for each operator of the library, with their SQL equivalents.
 
-Graphs: SP supplier x part (sum of quantities), NN nation to nation (customers' to suppliers', number of lines), NNS the three
-heaviest targets of each nation in NN, UU user to user and ET event type to event type (consecutive events), EM embeddings as a
-dense matrix, RUNES the first three letters of the nations' names. UU breaks the sequence of events at every 1,000 ids; UUA is
-the whole sequence, and grows with the events. Queries that end in _users are those on NNS over UUA; the others on NNS are held by
-SQL that has its three targets, but for those without SQL, which are over UUA too. Queries that end in _whole leave out nothing that the one of the same name filters.
+Graphs: SP supplier x part (sum of quantities), NN nation to nation (customers' to suppliers', number of lines) and ND the same
+as double, UU user to user and ET event to the next one of the same user, where that is the next of all, CC customer to customer
+(consecutive orders), EM embeddings as a dense matrix, RUNES the first three letters of the nations' names. All are over whole
+tables. spectral has no SQL (an orthogonal iteration); its test is a brute force.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,8 @@ from loomgraph.operators.multiply import mxm, mxv, strassen, vxm
 from loomgraph.operators.row_reduction import reduced
 from loomgraph.plans import centrality, clustering, traversal
 from loomgraph.sources import builders
-from loomgraph.sources.storage import cut
+from loomgraph.sources.storage import cut, shared_dir
+from loomgraph.streaming import edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,30 +63,31 @@ def nn(spark: SparkSession, d: str) -> Matrix:
     return Matrix(rows.groupBy("i", "j").agg(F.count("*").alias("v")), 25, 25)
 
 
-def nns(spark: SparkSession, d: str) -> Matrix:
-    best = W.partitionBy("i").orderBy(F.desc("v"), "j")
-    rows = nn(spark, d).df.where("i <> j").withColumn("nth", F.row_number().over(best)).where("nth <= 3").select("i", "j", F.col("v").cast("double").alias("v"))
-    return Matrix(cut(rows), 25, 25)
+def nd(spark: SparkSession, d: str) -> Matrix:
+    return nn(spark, d).map(lambda i, j, v: v.cast("double"))
 
 
-def uu(spark: SparkSession, d: str) -> Matrix:
-    order = W.partitionBy(F.floor(F.col("event_id") / 1000)).orderBy("event_id")
-    e = _read(spark, d, "events").select("user_id", F.lead("user_id").over(order).alias("to"))
-    rows = e.where("to is not null and user_id <> to").groupBy(F.col("user_id").alias("i"), F.col("to").alias("j")).agg(F.count("*").cast("double").alias("v"))
-    n = _read(spark, d, "events").agg(F.max("user_id")).first()[0] + 1
-    return Matrix(cut(rows), n, n)
-
-
-def uua(spark: SparkSession, d: str) -> Matrix:
-    """Within blocks of ids by a window; what ends a block goes to the first of the next, by a window over one row a block."""
-    block, order = F.floor(F.col("event_id") / 1000), W.partitionBy("block").orderBy("event_id")
-    e = _read(spark, d, "events").select("event_id", "user_id", block.alias("block"))
-    first = e.groupBy("block").agg(F.min_by("user_id", "event_id").alias("next"))
+def _after(rows: DataFrame, at: str, who: str) -> DataFrame:
+    """at, who, to: who has the next row in the order of at. By windows within blocks of ids; what ends a block goes to the first of the next, by a window over one row a block."""
+    e = rows.select(F.col(at).alias("at"), F.col(who).alias("who"), F.floor(F.col(at) / 1000).alias("block"))
+    first = e.groupBy("block").agg(F.min_by("who", "at").alias("next"))
     after = first.select(F.lag("block").over(W.orderBy("block")).alias("block"), "next").where("block is not null")
-    rows = e.withColumn("to", F.lead("user_id").over(order)).join(after, "block", "left").withColumn("to", F.coalesce("to", "next"))
-    rows = rows.where("to is not null and user_id <> to").groupBy(F.col("user_id").alias("i"), F.col("to").alias("j")).agg(F.count("*").cast("double").alias("v"))
-    n = _read(spark, d, "events").agg(F.max("user_id")).first()[0] + 1
-    return Matrix(cut(rows), n, n)
+    order = W.partitionBy("block").orderBy("at")
+    return e.withColumn("to", F.lead("who").over(order)).join(after, "block", "left").select("at", "who", F.coalesce("to", "next").alias("to"))
+
+
+def _steps(spark: SparkSession, d: str, name: str, at: str, who: str) -> Matrix:
+    rows = _after(_read(spark, d, name), at, who).where("to is not null and who <> to")
+    n = _read(spark, d, name).agg(F.max(who)).first()[0] + 1
+    return Matrix(cut(rows.groupBy(F.col("who").alias("i"), F.col("to").alias("j")).agg(F.count("*").cast("double").alias("v"))), n, n)
+
+
+def uu(spark: SparkSession, d: str) -> Matrix:
+    return _steps(spark, d, "events", "event_id", "user_id")
+
+
+def cc(spark: SparkSession, d: str) -> Matrix:
+    return _steps(spark, d, "orders", "o_orderkey", "o_custkey")
 
 
 def em(spark: SparkSession, d: str) -> Matrix:
@@ -103,10 +105,10 @@ def rune_matrix(spark: SparkSession, d: str) -> Matrix:
 SP = "sp AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)"
 NN = """nn AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, count(*) AS v FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
-NNS = f"{NN}, nns AS (SELECT i, j, CAST(v AS DOUBLE) AS v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS nth FROM nn WHERE i <> j) WHERE nth <= 3)"
-UU = """uu AS (SELECT user_id AS i, nxt AS j, CAST(count(*) AS DOUBLE) AS v FROM (
-SELECT user_id, lead(user_id) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND user_id <> nxt GROUP BY 1, 2)"""
-UUA = UU.replace("uu AS", "uua AS").replace("PARTITION BY event_id // 1000 ", "")
+ND = f"{NN}, nd AS (SELECT i, j, CAST(v AS DOUBLE) AS v FROM nn)"
+_STEPS = "{0} AS MATERIALIZED (SELECT {2} AS i, nxt AS j, CAST(count(*) AS DOUBLE) AS v FROM (SELECT {2}, lead({2}) OVER (ORDER BY {3}) AS nxt FROM {1}) WHERE nxt IS NOT NULL AND {2} <> nxt GROUP BY 1, 2)"
+UU = _STEPS.format("uu", "events", "user_id", "event_id")
+CC = _STEPS.format("cc", "orders", "o_custkey", "o_orderkey")
 RUNES = "runes AS (SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(k - 1 AS BIGINT) AS j, substr(upper(n_name), k, 1) AS v FROM nation, (SELECT unnest([1, 2, 3]) AS k))"
 
 
@@ -129,14 +131,38 @@ def _(s, d):
     return sp(s, d).df
 
 
-@query("from_array", "SELECT vec_id AS i, CAST(k - 1 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 6) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE embedding[k] <> 0")
+@query("embedding_cells", "SELECT vec_id AS i, CAST(k - 1 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 6) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE embedding[k] <> 0")
 def _(s, d):
     return em(s, d).sparse().df.select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("to_dense", f"WITH {NNS} SELECT a.k AS i, b.k AS j, coalesce(v, 0) AS v FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b LEFT JOIN nns ON i = a.k AND j = b.k")
+def _nations(s: SparkSession, d: str) -> list[list[int]]:
+    """The 25 nations' keys and regions on the driver."""
+    return [list(map(int, r)) for r in _read(s, d, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()]
+
+
+@query("from_array", "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(k AS BIGINT) AS j, CAST(CASE k WHEN 0 THEN n_nationkey ELSE n_regionkey END AS DOUBLE) AS v FROM nation, (SELECT unnest([0, 1]) AS k) WHERE CASE k WHEN 0 THEN n_nationkey ELSE n_regionkey END <> 0")
+def _(s, d):
+    return builders.from_array(s, _nations(s, d)).df
+
+
+@query("from_array_dense", "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(k AS BIGINT) AS j, CAST(CASE k WHEN 0 THEN n_nationkey ELSE n_regionkey END AS BIGINT) AS v FROM nation, (SELECT unnest([0, 1]) AS k)")
+def _(s, d):
+    return builders.from_array(s, _nations(s, d), "bigint", "dense").df
+
+
+@query("vectors", """SELECT 'sparse' AS kind, CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey AS DOUBLE) AS v FROM nation WHERE n_regionkey <> 0
+UNION ALL SELECT 'dense', CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS DOUBLE) FROM nation UNION ALL SELECT 'zero', CAST(k AS BIGINT), 0 FROM (SELECT unnest(range(4)) AS k)""")
+def _(s, d):
+    values = [r[1] for r in _nations(s, d)]
+    made = {"sparse": builders.vector_from_array(s, values), "dense": builders.vector_from_array(s, values, layout="dense"), "zero": builders.zero_vector(s, 4), "empty": builders.empty_vector(s, 4)}
+    parts = [v.df.select(F.lit(k).alias("kind"), "i", "v") for k, v in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("to_dense", f"WITH {ND} SELECT a.k AS i, b.k AS j, coalesce(v, 0) AS v FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b LEFT JOIN nd ON i = a.k AND j = b.k")
 def _(s, d):
-    return nns(s, d).dense().df
+    return nd(s, d).dense().df
 
 
 @query("zero_matrix", "SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS j, CAST(0 AS DOUBLE) AS v FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(4)) AS b)")
@@ -149,16 +175,31 @@ def _(s, d):
     return builders.empty(s, 5, 4).df
 
 
-@query("at_point", f"WITH {SP} SELECT i, j, v FROM sp WHERE i = 3 AND j <= 40")
+_POINTS = [(0, 1), (3, 4), (24, 24), (7, 7)]
+
+
+@query("at_point", f"WITH {NN}, p(i, j) AS (VALUES {', '.join(map(str, _POINTS))}) SELECT CAST(p.i AS BIGINT) AS i, CAST(p.j AS BIGINT) AS j, coalesce(v, 0) AS v FROM p LEFT JOIN nn ON nn.i = p.i AND nn.j = p.j")
 def _(s, d):
-    return sp(s, d).row(3).df.where("i <= 40").select(F.lit(3).cast("long").alias("i"), F.col("i").alias("j"), "v")
+    m = nn(s, d)
+    return s.createDataFrame([(i, j, m.get(i, j)) for i, j in _POINTS], "i long, j long, v long")
 
 
-@query("at_point_whole", f"WITH {SP} SELECT i, j, v FROM sp WHERE i = 3")
+@query("row_of_supplier", f"WITH {SP} SELECT i, j, v FROM sp WHERE i = 3")
 def _(s, d):
     return sp(s, d).row(3).df.select(F.lit(3).cast("long").alias("i"), F.col("i").alias("j"), "v")
 
 
+@query("entries_by_column", f"WITH {NN} SELECT row_number() OVER (ORDER BY j, i) - 1 AS at, i, j, v FROM nn")
+def _(s, d):
+    rows = nn(s, d).entries(by_column=True).collect()  # at most 25 x 25
+    return s.createDataFrame([(k, r.i, r.j, r.v) for k, r in enumerate(rows)], "at long, i long, j long, v long")
+
+
+@query("raw_cells", f"WITH {NN} SELECT a.k AS i, string_agg(CAST(coalesce(v, 0) AS VARCHAR), ',' ORDER BY b.k) AS cells FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b LEFT JOIN nn ON i = a.k AND j = b.k GROUP BY 1")
+def _(s, d):
+    return s.createDataFrame([(k, ",".join(map(str, row))) for k, row in enumerate(nn(s, d).raw())], "i long, cells string")
+
+
 @query("row_slice", f"WITH {SP} SELECT j AS i, v FROM sp WHERE i = 5")
 def _(s, d):
     return sp(s, d).row(5).df
@@ -169,12 +210,12 @@ def _(s, d):
     return sp(s, d).column(7).df
 
 
-@query("row_array", f"WITH {NNS} SELECT string_agg(CAST(CAST(coalesce(v, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS values FROM (SELECT unnest(range(25)) AS k) LEFT JOIN nns ON i = 2 AND j = k")
+@query("row_array", f"WITH {ND} SELECT string_agg(CAST(CAST(coalesce(v, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS values FROM (SELECT unnest(range(25)) AS k) LEFT JOIN nd ON i = 2 AND j = k")
 def _(s, d):
-    return nns(s, d).row_array(2).select(F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("values"))
+    return nd(s, d).row_array(2).select(F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("values"))
 
 
-@query("set_point", f"WITH {NN} SELECT i, j, CASE WHEN i = 1 AND j = 2 THEN 77 ELSE v END AS v FROM nn WHERE NOT (i = 0 AND j = 0)")
+@query("set_point", f"WITH {NN} SELECT i, j, v FROM nn WHERE NOT (i = 0 AND j = 0) AND NOT (i = 1 AND j = 2) UNION ALL SELECT 1, 2, 77")
 def _(s, d):
     return nn(s, d).set(1, 2, 77).set(0, 0, 0).df
 
@@ -197,7 +238,7 @@ def _(s, d):
 @query("shape_and_stored", f"WITH {SP} SELECT (SELECT count(*) FROM supplier) AS nrows, (SELECT count(*) FROM part) AS ncols, count(*) AS stored FROM sp")
 def _(s, d):
     m = sp(s, d)
-    return m.df.agg(F.lit(m.nrows).cast("long").alias("nrows"), F.lit(m.ncols).cast("long").alias("ncols"), F.count("*").alias("stored"))
+    return s.createDataFrame([(*m.shape, m.stored())], "nrows long, ncols long, stored long")
 
 
 @query("clear", f"WITH {NN} SELECT * FROM nn WHERE 1 = 0")
@@ -218,9 +259,9 @@ def _(s, d):
     return E.apply(nn(s, d), ops.UnaryOp(lambda v: v + 1), mask=lambda i, j: i == j).df
 
 
-@query("assign_constant", f"WITH {NNS}, g AS (SELECT a.k AS i, b.k AS j FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b) SELECT g.i, g.j, CASE WHEN g.i < g.j THEN 5 ELSE coalesce(v, 0) END AS v FROM g LEFT JOIN nns USING (i, j)")
+@query("assign_constant", f"WITH {ND}, g AS (SELECT a.k AS i, b.k AS j FROM (SELECT unnest(range(25)) AS k) a CROSS JOIN (SELECT unnest(range(25)) AS k) b) SELECT g.i, g.j, CASE WHEN g.i < g.j THEN 5 ELSE coalesce(v, 0) END AS v FROM g LEFT JOIN nd USING (i, j)")
 def _(s, d):
-    return E.assign(nns(s, d), 5, mask=lambda i, j: i >= j).df
+    return E.assign(nd(s, d), 5, mask=lambda i, j: i >= j).df
 
 
 @query("scale", f"WITH {NN} SELECT i, j, v * 3 AS v FROM nn")
@@ -266,10 +307,15 @@ def _(s, d):
     return _one(s, itself=E.equal(m, m.copy()), transposed=E.equal(m, m.transpose()), differs=E.not_equal(m, m.transpose()))
 
 
-@query("symmetric", "SELECT true AS sum_is, true AS difference_is, false AS skew_sum")
+_BOTH = "{0} AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM nn UNION ALL SELECT j, i, {1}v FROM nn) GROUP BY 1, 2)"
+_HOLDS = "(SELECT count(*) FROM {0} a FULL JOIN {0} b ON a.i = b.j AND a.j = b.i WHERE coalesce(a.v, 0) <> {1}coalesce(b.v, 0)) = 0"
+
+
+@query("symmetric", f"WITH {NN}, {_BOTH.format('s', '')}, {_BOTH.format('t', '-')} SELECT {_HOLDS.format('s', '')} AS sum_is, {_HOLDS.format('t', '-')} AS difference_is, {_HOLDS.format('s', '-')} AS skew_sum, {_HOLDS.format('nn', '')} AS itself")
 def _(s, d):
     m = nn(s, d)
-    return _one(s, sum_is=E.symmetric(E.add(m, m.transpose())), difference_is=E.skew_symmetric(E.subtract(m, m.transpose())), skew_sum=E.skew_symmetric(E.add(m, m.transpose())))
+    total, difference = E.add(m, m.transpose()), E.subtract(m, m.transpose())
+    return _one(s, sum_is=E.symmetric(total), difference_is=E.skew_symmetric(difference), skew_sum=E.skew_symmetric(total), itself=E.symmetric(m))
 
 
 @query("rune_string", f"WITH {RUNES} SELECT string_agg(v, '' ORDER BY i, j) AS s FROM runes")
@@ -277,10 +323,12 @@ def _(s, d):
     return runes.text(rune_matrix(s, d))
 
 
-@query("rune_compare", "SELECT CAST(0 AS INTEGER) AS same, false AS less, false AS greater")
+@query("rune_compare", f"""WITH {RUNES}, r AS (SELECT i, string_agg(v, '' ORDER BY j) AS s FROM runes GROUP BY i), t AS (SELECT string_agg(s, '' ORDER BY i) AS x, string_agg(s, '' ORDER BY s, i) AS y FROM r)
+SELECT CAST((x > x) :: INTEGER - (x < x) :: INTEGER AS INTEGER) AS same, CAST((x > y) :: INTEGER - (x < y) :: INTEGER AS INTEGER) AS with_sorted, y < x AS less, y > x AS greater, x < y AS less_back FROM t""")
 def _(s, d):
     m = rune_matrix(s, d)
-    return _one(s, same=runes.compare(m, m), less=runes.less(m, m), greater=runes.greater(m, m))
+    o = runes.sort_rows(m)
+    return _one(s, same=runes.compare(m, m), with_sorted=runes.compare(m, o), less=runes.less(o, m), greater=runes.greater(o, m), less_back=runes.less(m, o))
 
 
 @query("sort_rows", f"WITH {RUNES}, r AS (SELECT i, string_agg(v, '' ORDER BY j) AS s FROM runes GROUP BY i), p AS (SELECT i, row_number() OVER (ORDER BY s, i) - 1 AS k FROM r) SELECT k AS i, j, v FROM runes JOIN p USING (i)")
@@ -330,15 +378,15 @@ def _start(m: Matrix, zero: object, dtype: str = "double") -> Vector:
     return Vector(m.spark.range(3).select(F.col("id").alias("i"), F.col("id").cast(dtype).alias("v")), m.ncols, "sparse", zero)
 
 
-@query("semiring_min_plus", f"WITH {NNS} SELECT j AS i, min(v + i) AS v FROM nns WHERE i < 3 GROUP BY j")
+@query("semiring_min_plus", f"WITH {ND} SELECT j AS i, min(v + i) AS v FROM nd WHERE i < 3 GROUP BY j")
 def _(s, d):
-    m = nns(s, d).transpose()
+    m = nd(s, d).transpose()
     return mxv(m, _start(m, algebra.INF), semiring=algebra.min_plus()).df
 
 
-@query("semiring_max_min", f"WITH {NNS} SELECT j AS i, max(least(v, i * 50)) AS v FROM nns WHERE i < 3 GROUP BY j")
+@query("semiring_max_min", f"WITH {ND} SELECT j AS i, max(least(v, i * 50)) AS v FROM nd WHERE i < 3 GROUP BY j")
 def _(s, d):
-    m = nns(s, d).transpose()
+    m = nd(s, d).transpose()
     return mxv(m, _start(m, -algebra.INF).map(lambda i, v: v * 50), semiring=algebra.max_min()).df
 
 
@@ -354,9 +402,9 @@ def _(s, d):
     return mxv(m, _start(m, 2147483647, "bigint"), semiring=algebra.Semiring(algebra.least("bigint", 1 << 40), ops.addition, annihilates=False)).df
 
 
-@query("semiring_or_and", f"WITH {NNS} SELECT DISTINCT j AS i, true AS v FROM nns WHERE i < 3")
+@query("semiring_or_and", f"WITH {ND} SELECT DISTINCT j AS i, true AS v FROM nd WHERE i < 3")
 def _(s, d):
-    m = nns(s, d).transpose()
+    m = nd(s, d).transpose()
     reach = Matrix(m.df.select("i", "j", F.lit(True).alias("v")), 25, 25)
     x = Vector(s.range(3).select(F.col("id").alias("i"), F.lit(True).alias("v")), 25, "sparse", False)
     return mxv(reach, x, semiring=algebra.or_and()).df
@@ -365,7 +413,7 @@ def _(s, d):
 @query("strassen", f"WITH {NN} SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.j = b.i GROUP BY 1, 2")
 def _(s, d):
     m = nn(s, d)
-    return strassen(m, m).df
+    return strassen(m, m, crossover=8).df
 
 
 # ---------------------------------------------------------------- cell by cell
@@ -383,15 +431,15 @@ def _(s, d):
     return E.ewise_mult(m, m.transpose(), op=ops.multiplication).df
 
 
-@query("ewise_add", f"WITH {NNS}, t AS (SELECT j AS i, i AS j, v FROM nns) SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM nns a FULL JOIN t b ON a.i = b.i AND a.j = b.j")
+@query("ewise_add", f"WITH {ND}, t AS (SELECT j AS i, i AS j, v FROM nd) SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(b.v, a.v) AS v FROM nd a FULL JOIN t b ON a.i = b.i AND a.j = b.j")
 def _(s, d):
-    m = nns(s, d)
+    m = nd(s, d)
     return E.ewise_add(m, m.transpose()).df
 
 
-@query("add", f"WITH {NNS} SELECT i, j, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT * FROM nns UNION ALL SELECT j, i, v FROM nns) GROUP BY 1, 2")
+@query("add", f"WITH {ND} SELECT i, j, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT * FROM nd UNION ALL SELECT j, i, v FROM nd) GROUP BY 1, 2")
 def _(s, d):
-    m = nns(s, d)
+    m = nd(s, d)
     return E.add(m, m.transpose()).df
 
 
@@ -469,9 +517,9 @@ def _(s, d):
     return R.dot(m.row(5), m.row(6))
 
 
-@query("change", f"WITH {NN} SELECT CAST(sum(abs(a.v - b.v)) AS DOUBLE) AS total, CAST(max(abs(a.v - b.v)) AS DOUBLE) AS largest FROM nn a JOIN nn b ON a.i = b.j AND a.j = b.i")
+@query("change", f"WITH {NN} SELECT CAST(sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) AS DOUBLE) AS total, CAST(max(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) AS DOUBLE) AS largest FROM nn a FULL JOIN nn b ON a.i = b.j AND a.j = b.i")
 def _(s, d):
-    m = nn(s, d).map(lambda i, j, v: v.cast("double"))
+    m = nd(s, d)
     total, largest = R.change(m, m.transpose())
     return s.createDataFrame([(total, largest)], "total double, largest double")
 
@@ -491,12 +539,9 @@ def _arithmetic(s: SparkSession, d: str) -> DataFrame:
     return _lines(s, d, **out)
 
 
-@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS sb, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem WHERE l_orderkey >= 100")
+@query("scalar_arithmetic", _LINES + "l_quantity + l_linenumber AS a, l_quantity - l_linenumber AS sb, l_quantity * l_linenumber AS m, round(l_quantity / l_linenumber, 6) AS d, CAST((l_orderkey - 100) // l_linenumber AS BIGINT) AS di, least(l_quantity, l_linenumber * 10) AS mi, greatest(l_quantity, l_linenumber * 10) AS ma, l_quantity AS f, l_linenumber AS g FROM lineitem")
 def _(s, d):
-    return _arithmetic(s, d).where("l_orderkey >= 100")
-
-
-query("scalar_arithmetic_whole", ORACLES["scalar_arithmetic"].removesuffix(" WHERE l_orderkey >= 100"))(_arithmetic)
+    return _arithmetic(s, d)
 
 
 @query("scalar_comparison", _LINES + "l_quantity = l_linenumber AS eq, l_quantity <> l_linenumber AS ne, l_quantity > l_linenumber AS gt, l_quantity < l_linenumber AS lt, l_quantity >= l_linenumber AS ge, l_quantity <= l_linenumber AS le FROM lineitem")
@@ -524,78 +569,68 @@ def _reach(graph: str, name: str, start: int) -> str:
     return f"WITH RECURSIVE {graph}, r(i, level) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS BIGINT) UNION SELECT g.j, r.level + 1 FROM r JOIN {name} g ON g.i = r.i WHERE r.level < 25) SELECT i, min(level) AS level FROM r GROUP BY i"
 
 
-@query("bfs_levels", _reach(NNS, "nns", 0))
+@query("bfs_levels", _reach(CC, "cc", 0))
 def _(s, d):
-    return traversal.levels(nns(s, d), 0)
+    return traversal.levels(cc(s, d), 0)
 
 
 @query(
     "bfs_search",
-    f"""WITH {NNS}, f1 AS (SELECT j AS i, CAST(sum(v) AS DOUBLE) AS v FROM nns WHERE i = 0 AND j <> 0 GROUP BY j)
-SELECT n.j AS i, CAST(sum(n.v * f1.v) AS DOUBLE) AS v FROM nns n JOIN f1 ON f1.i = n.i WHERE n.j <> 0 AND n.j NOT IN (SELECT i FROM f1) GROUP BY n.j""",
+    f"""WITH {CC}, f1 AS (SELECT j AS i, CAST(sum(v) AS DOUBLE) AS v FROM cc WHERE i = 0 AND j <> 0 GROUP BY j)
+SELECT n.j AS i, CAST(sum(n.v * f1.v) AS DOUBLE) AS v FROM cc n JOIN f1 ON f1.i = n.i WHERE n.j <> 0 AND n.j NOT IN (SELECT i FROM f1) GROUP BY n.j""",
 )
 def _(s, d):
     rounds = []
-    return traversal.search(nns(s, d).transpose(), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
+    return traversal.search(cc(s, d).transpose(), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
 
 
-def _distances(graph: str, name: str, start: int, rounds: int) -> str:
-    steps = [f"d0(i, d) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS DOUBLE))"]
-    steps += [f"d{k}(i, d) AS (SELECT i, min(d) FROM (SELECT i, d FROM d{k - 1} UNION ALL SELECT g.j, p.d + g.v FROM d{k - 1} p JOIN {name} g ON g.i = p.i) GROUP BY i)" for k in range(1, rounds + 1)]
-    return f"WITH {graph}, {', '.join(steps)} SELECT i, d AS v FROM d{rounds}"
+ROUNDS = 24
 
 
-@query("sssp", _distances(NNS, "nns", 0, 24))
-def _(s, d):
-    return traversal.single_source(nns(s, d), 0).df
-
-
-@query("between", f"WITH d AS ({_distances(NNS, 'nns', 0, 24)}) SELECT CAST(t AS BIGINT) AS target, CASE WHEN t = 0 THEN 0 ELSE v END AS distance FROM (SELECT unnest([0, 7, 13]) AS t) LEFT JOIN d ON i = t")
-def _(s, d):
-    m = nns(s, d)
-    found = [(t, traversal.between(m, 0, t)[0]) for t in (0, 7, 13)]
-    return s.createDataFrame([(t, None if x == float("inf") else x) for t, x in found], "target long, distance double")
-
-
-@query("bfs_levels_users", _reach(UUA, "uua", 0))
-def _(s, d):
-    return traversal.levels(uua(s, d), 0)
-
-
-@query("bfs_search_users", ORACLES["bfs_search"].replace(NNS, UUA).replace("nns", "uua"))
-def _(s, d):
-    rounds = []
-    return traversal.search(uua(s, d).transpose(), 0, lambda f: rounds.append(f) or len(rounds) == 2).df
+def _distances(graph: str, name: str, start: int, rounds: int = ROUNDS) -> str:
+    steps = [f"d0(i, d) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS DOUBLE))"]
+    steps += [f"d{k}(i, d) AS MATERIALIZED (SELECT i, min(d) FROM (SELECT i, d FROM d{k - 1} UNION ALL SELECT g.j, p.d + g.v FROM d{k - 1} p JOIN {name} g ON g.i = p.i) GROUP BY i)" for k in range(1, rounds + 1)]
+    return f"{graph}, {', '.join(steps)}"
 
 
-@query("sssp_users", _distances(UUA, "uua", 0, 24))
+@query("sssp", f"WITH {_distances(CC, 'cc', 0)} SELECT i, d AS v FROM d{ROUNDS}")
 def _(s, d):
-    return traversal.single_source(uua(s, d), 0).df
+    return traversal.single_source(cc(s, d), 0).df
 
 
-@query("between_users", ORACLES["between"].replace(NNS, UUA).replace("nns", "uua"))
-def _(s, d):
-    m = uua(s, d)
-    found = [(t, traversal.between(m, 0, t)[0]) for t in (0, 7, 13)]
-    return s.createDataFrame([(t, None if x == float("inf") else x) for t, x in found], "target long, distance double")
+_TARGETS = (0, 7, 13)
 
 
-@query("components", f"WITH RECURSIVE {NNS}, e AS (SELECT i, j FROM nns WHERE i % 3 = j % 3 UNION SELECT j, i FROM nns WHERE i % 3 = j % 3), r(i, j) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT) FROM (SELECT unnest(range(25)) AS k) UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j) SELECT i AS vertex, min(j) AS label FROM r GROUP BY i")
+# The last step to a vertex comes from the nearest vertex of those that its distance may come from, then the smallest.
+@query(
+    "between",
+    f"""WITH RECURSIVE {_distances(CC, 'cc', 0)},
+b AS MATERIALIZED (SELECT v, u FROM (SELECT x.i AS v, g.i AS u, row_number() OVER (PARTITION BY x.i ORDER BY y.d, g.i) AS nth FROM d{ROUNDS} x JOIN cc g ON g.j = x.i JOIN d{ROUNDS} y ON y.i = g.i WHERE y.d + g.v = x.d AND x.i <> 0) WHERE nth = 1),
+w(target, here, path) AS (SELECT CAST(t AS BIGINT), CAST(t AS BIGINT), CAST(t AS VARCHAR) FROM (SELECT unnest({list(_TARGETS)}) AS t) UNION ALL SELECT target, u, concat(u, '>', path) FROM w JOIN b ON b.v = w.here)
+SELECT target, d AS distance, path FROM w JOIN d{ROUNDS} ON d{ROUNDS}.i = target WHERE here = 0""",
+)
 def _(s, d):
-    return clustering.components(nns(s, d).df.where("i % 3 = j % 3"), 25)
+    m = cc(s, d)
+    found = [(t, *traversal.between(m, 0, t)) for t in _TARGETS]
+    return s.createDataFrame([(t, x, ">".join(map(str, path))) for t, x, path in found if path], "target long, distance double, path string")
 
 
-@query("components_whole", ORACLES["components"].replace(" WHERE i % 3 = j % 3", "").replace(NNS, NN).replace("nns", "nn"))
+@query("components", "WITH RECURSIVE e AS MATERIALIZED (SELECT i, j FROM (SELECT event_id AS i, lead(event_id) OVER (ORDER BY event_id) AS j, user_id = lead(user_id) OVER (ORDER BY event_id) AS same FROM events) WHERE same), r(vertex, label) AS (SELECT event_id, event_id FROM events UNION ALL SELECT e.j, r.label FROM r JOIN e ON e.i = r.vertex) SELECT vertex, min(label) AS label FROM r GROUP BY 1")
 def _(s, d):
-    return clustering.components(nn(s, d).df.select("i", "j"), 25)
+    """Runs of events of one user."""
+    events = _read(s, d, "events").select("event_id", "user_id")
+    after = _after(events, "event_id", "user_id").where("who = to").select(F.col("at").alias("i"))
+    ids = _after(events.withColumn("same", F.col("event_id")), "event_id", "same").select(F.col("at").alias("i"), F.col("to").alias("j"))
+    n = events.agg(F.max("event_id")).first()[0] + 1
+    return clustering.components(ids.join(after, "i"), n).join(events.select(F.col("event_id").alias("vertex")), "vertex", "left_semi")
 
 
 def _ranks(rounds: int) -> str:
-    steps = ["n AS (SELECT max(user_id) + 1 AS n FROM events)", "o AS (SELECT i, sum(v) AS t FROM uu GROUP BY i)", "v AS (SELECT unnest(range(n)) AS i FROM n)", "r0 AS (SELECT i, 1.0 / n AS r FROM v, n)"]
+    steps = ["n AS (SELECT max(user_id) + 1 AS n FROM events)", "o AS MATERIALIZED (SELECT i, sum(v) AS t FROM uu GROUP BY i)", "v AS MATERIALIZED (SELECT unnest(range(n)) AS i FROM n)", "r0 AS (SELECT i, 1.0 / n AS r FROM v, n)"]
     for k in range(1, rounds + 1):
-        steps.append(f"l{k} AS (SELECT coalesce(sum(r), 0) AS l FROM r{k - 1} WHERE i NOT IN (SELECT i FROM o))")
-        steps.append(f"g{k} AS (SELECT uu.j AS i, sum(r * uu.v / t) AS g FROM uu JOIN r{k - 1} ON r{k - 1}.i = uu.i JOIN o ON o.i = uu.i GROUP BY 1)")
-        steps.append(f"r{k} AS (SELECT v.i, 0.85 * coalesce(g, 0) + 0.15 / n + 0.85 * l / n AS r FROM v CROSS JOIN n CROSS JOIN l{k} LEFT JOIN g{k} ON g{k}.i = v.i)")
+        loose = f"(SELECT coalesce(sum(r), 0) AS l FROM r{k - 1} WHERE i NOT IN (SELECT i FROM o))"
+        got = f"(SELECT uu.j AS i, sum(r * uu.v / t) AS g FROM uu JOIN r{k - 1} p ON p.i = uu.i JOIN o ON o.i = uu.i GROUP BY 1)"
+        steps.append(f"r{k} AS MATERIALIZED (SELECT v.i, 0.85 * coalesce(g, 0) + 0.15 / n + 0.85 * l / n AS r FROM v CROSS JOIN n CROSS JOIN {loose} LEFT JOIN {got} g ON g.i = v.i)")
     return f"WITH {UU}, {', '.join(steps)} SELECT i, round(CAST(r AS DOUBLE), 8) AS v FROM r{rounds}"
 
 
@@ -604,103 +639,150 @@ def _(s, d):
     return centrality.pagerank(uu(s, d), tolerance=-1, rounds=10).df.select("i", F.round("v", 8).alias("v"))
 
 
-@query("pagerank_whole", _ranks(10).replace(UU, UUA).replace("uu.", "uua.").replace("FROM uu ", "FROM uua "))
+@query("pagerank_converged", _ranks(60))
 def _(s, d):
-    return centrality.pagerank(uua(s, d), tolerance=-1, rounds=10).df.select("i", F.round("v", 8).alias("v"))
+    return centrality.pagerank(uu(s, d), tolerance=1e-12).df.select("i", F.round("v", 8).alias("v"))
 
 
-@query("pagerank_converged")
-def _(s, d):
-    return centrality.pagerank(uua(s, d)).df
+def _betweenness(sources: str, levels: int = 8) -> str:
+    """By numbers of shortest paths: through v go those from s to v times those from v to t, where the distances add up. A source counts as often as it is given."""
+    vertices = "unnest(range((SELECT max(user_id) + 1 FROM events)))"
+    steps = [f"vs AS MATERIALIZED (SELECT {vertices} AS s)", "s0 AS MATERIALIZED (SELECT s, s AS t, 0 AS d, CAST(1 AS DOUBLE) AS p FROM vs)"]
+    for k in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT s, t FROM s{m}" for m in range(k))
+        steps.append(f"s{k} AS MATERIALIZED (SELECT a.s, uu.j AS t, {k} AS d, sum(p) AS p FROM s{k - 1} a JOIN uu ON uu.i = a.t WHERE (a.s, uu.j) NOT IN ({seen}) GROUP BY 1, 2)")
+    every = " UNION ALL ".join(f"SELECT * FROM s{m}" for m in range(levels + 1))
+    through = "(SELECT x.t AS v, sum(n * x.p * y.p / z.p) AS b FROM a x JOIN g ON g.s = x.s JOIN a y ON y.s = x.t JOIN a z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.s <> x.t AND y.t <> x.t GROUP BY 1)"
+    return f"WITH {UU}, {', '.join(steps)}, a AS MATERIALIZED ({every}), g AS (SELECT s, count(*) AS n FROM ({sources}) GROUP BY s) SELECT vs.s AS i, round(coalesce(b, 0), 6) AS v FROM vs LEFT JOIN {through} ON v = vs.s"
 
 
-@query("betweenness")
+@query("betweenness", _betweenness("SELECT s FROM vs"))
 def _(s, d):
-    return centrality.betweenness(uua(s, d)).df.select("i", F.round("v", 6).alias("v"))
+    return centrality.betweenness(uu(s, d)).df.select("i", F.round("v", 6).alias("v"))
 
 
-@query("betweenness_sources")
+@query("betweenness_sources", _betweenness("SELECT unnest([0, 3, 3]) AS s"))
 def _(s, d):
-    return centrality.betweenness(uua(s, d), [0, 3, 3], batch=2).df.select("i", F.round("v", 6).alias("v"))
+    return centrality.betweenness(uu(s, d), [0, 3, 3], batch=2).df.select("i", F.round("v", 6).alias("v"))
 
 
-def _closeness(rounds: int) -> str:
-    steps = ["d0(s, v, d) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT), CAST(0 AS DOUBLE) FROM (SELECT unnest(range(25)) AS k))"]
-    steps += [f"d{k}(s, v, d) AS (SELECT s, v, min(d) FROM (SELECT s, v, d FROM d{k - 1} UNION ALL SELECT p.s, g.j, p.d + g.v FROM d{k - 1} p JOIN nns g ON g.i = p.v) GROUP BY 1, 2)" for k in range(1, rounds + 1)]
-    return f"WITH {NNS}, {', '.join(steps)} SELECT CAST(k AS BIGINT) AS i, round(coalesce(max(r / t * r / 24), 0), 8) AS v FROM (SELECT unnest(range(25)) AS k) LEFT JOIN (SELECT s, CAST(count(*) AS DOUBLE) AS r, sum(d) AS t FROM d{rounds} WHERE s <> v GROUP BY s) ON s = k GROUP BY k"
+_USERS = "(SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS k)"
 
 
-@query("closeness", _closeness(24))
-def _(s, d):
-    return centrality.closeness(nns(s, d)).df.select("i", F.round("v", 8).alias("v"))
+def _all_distances(rounds: int = ROUNDS) -> str:
+    steps = [f"d0(s, v, d) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT), CAST(0 AS DOUBLE) FROM {_USERS})"]
+    steps += [f"d{k}(s, v, d) AS MATERIALIZED (SELECT s, v, min(d) FROM (SELECT s, v, d FROM d{k - 1} UNION ALL SELECT p.s, g.j, p.d + g.v FROM d{k - 1} p JOIN uu g ON g.i = p.v) GROUP BY 1, 2)" for k in range(1, rounds + 1)]
+    return f"WITH {UU}, {', '.join(steps)}"
 
 
-@query("all_pairs", _closeness(24).split(" SELECT CAST(k AS BIGINT) AS i, round")[0] + " SELECT s AS source, v, d FROM d24")
+@query("closeness", f"{_all_distances()} SELECT CAST(k AS BIGINT) AS i, round(coalesce(max(r / t * r / (SELECT max(user_id) FROM events)), 0), 8) AS v FROM {_USERS} LEFT JOIN (SELECT s, CAST(count(*) AS DOUBLE) AS r, sum(d) AS t FROM d{ROUNDS} WHERE s <> v GROUP BY s) ON s = k GROUP BY k")
 def _(s, d):
-    return traversal.all_pairs(nns(s, d))
+    return centrality.closeness(uu(s, d)).df.select("i", F.round("v", 8).alias("v"))
 
 
-def _users(sql: str) -> str:
-    """The SQL of a query on NNS, over UUA."""
-    vertices, n = "unnest(range((SELECT max(user_id) + 1 FROM events)))", "(SELECT max(user_id) FROM events)"
-    return sql.replace(NNS, UUA).replace("nns", "uua").replace("unnest(range(25))", vertices).replace("* r / 24", f"* r / {n}")
+@query("all_pairs", f"{_all_distances()} SELECT s AS source, v, d FROM d{ROUNDS}")
+def _(s, d):
+    return traversal.all_pairs(uu(s, d))
 
 
-@query("closeness_users", _users(_closeness(24)))
+@query("symmetrized", f"WITH {ND} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT i, v FROM nd UNION ALL SELECT j, v FROM nd) GROUP BY i")
 def _(s, d):
-    return centrality.closeness(uua(s, d)).df.select("i", F.round("v", 8).alias("v"))
+    return clustering.symmetrized(nd(s, d))[1].df
 
 
-@query("all_pairs_users", _users(ORACLES["all_pairs"]))
-def _(s, d):
-    return traversal.all_pairs(uua(s, d))
+def _flow(graph: str, name: str, rounds: int, inflation: int) -> str:
+    steps = [f"w AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT * FROM {name} UNION ALL SELECT j, i, v FROM {name}) GROUP BY 1, 2)", "l AS (SELECT * FROM w UNION ALL SELECT i, i, max(v) FROM w GROUP BY i)"]
+    steps += ["m0 AS MATERIALIZED (SELECT i, j, sum(v) / sum(sum(v)) OVER (PARTITION BY i) AS v FROM l GROUP BY 1, 2)"]
+    for k in range(1, rounds + 1):
+        steps += [f"x{k} AS (SELECT a.i, b.j, pow(sum(a.v * b.v), {inflation}) AS p FROM m{k - 1} a JOIN m{k - 1} b ON a.j = b.i GROUP BY 1, 2)"]
+        steps += [f"p{k} AS (SELECT i, j, p, sum(p) OVER (PARTITION BY i) AS t, max(p) OVER (PARTITION BY i) AS h FROM x{k})"]
+        steps += [f"m{k} AS MATERIALIZED (SELECT i, j, p / sum(p) OVER (PARTITION BY i) AS v FROM p{k} WHERE p = h OR p / t >= 1e-5)"]
+    return f"{graph}, {', '.join(steps)}"
 
 
-@query("symmetrized", f"WITH {NNS} SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT i, v FROM nns UNION ALL SELECT j, v FROM nns) GROUP BY i")
+@query("markov_flow", f"WITH {_flow(ND, 'nd', 1, 2)} SELECT i, j, round(v, 8) AS v FROM m1")
 def _(s, d):
-    return clustering.symmetrized(nns(s, d))[1].df
+    return clustering.flow(nd(s, d), 2, 1).df.select("i", "j", F.round("v", 8).alias("v"))
 
 
-@query("markov_flow", f"""WITH {NNS}, w AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM nns UNION ALL SELECT j, i, v FROM nns) GROUP BY 1, 2),
-l AS (SELECT * FROM w UNION ALL SELECT i, i, max(v) FROM w GROUP BY i), m AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM l),
-x AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.i GROUP BY 1, 2), p AS (SELECT i, j, v * v AS p, sum(v * v) OVER (PARTITION BY i) AS t, max(v * v) OVER (PARTITION BY i) AS h FROM x),
-k AS (SELECT * FROM p WHERE p = h OR p / t >= 1e-5) SELECT i, j, round(p / sum(p) OVER (PARTITION BY i), 8) AS v FROM k""")
-def _(s, d):
-    return clustering.flow(nns(s, d), 2, 1).df.select("i", "j", F.round("v", 8).alias("v"))
+# The number of clusters by their lowest vertices, as canonical() has it.
+_NUMBERED = "SELECT vertex, dense_rank() OVER (ORDER BY first) - 1 AS label FROM (SELECT vertex, min(vertex) OVER (PARTITION BY label) AS first FROM {0})"
 
 
-@query("markov")
+@query("markov", f"WITH RECURSIVE {_flow(UU, 'uu', 40, 4)}, e AS MATERIALIZED (SELECT i, j FROM m40 UNION SELECT j, i FROM m40), r(vertex, label) AS (SELECT CAST(k AS BIGINT), CAST(k AS BIGINT) FROM {_USERS} UNION SELECT r.vertex, e.j FROM r JOIN e ON e.i = r.label), c AS (SELECT vertex, min(label) AS label FROM r GROUP BY 1) {_NUMBERED.format('c')}")
 def _(s, d):
-    return clustering.markov(uua(s, d))
+    return clustering.markov(uu(s, d), inflation=4)
+
+
+def _votes(rounds: int = 50) -> str:
+    steps = [f"e AS (SELECT * FROM uu UNION ALL SELECT k, k, coalesce(h, 1) FROM {_USERS} LEFT JOIN (SELECT i, max(v) AS h FROM uu GROUP BY i) ON i = k)"]
+    steps += ["s AS MATERIALIZED (SELECT j AS vertex, i AS who, sum(v) / any_value(t) AS share FROM (SELECT *, sum(v) OVER (PARTITION BY i) AS t FROM e) GROUP BY 1, 2)", "c0 AS (SELECT DISTINCT vertex, vertex AS label FROM s)"]
+    for k in range(1, rounds + 1):
+        steps += [f"c{k} AS MATERIALIZED (SELECT vertex, label FROM (SELECT vertex, label, row_number() OVER (PARTITION BY vertex ORDER BY round(sum(share), 10) DESC, label) AS nth FROM s JOIN (SELECT vertex AS who, label FROM c{k - 1}) USING (who) GROUP BY 1, 2) WHERE nth = 1)"]
+    return f"WITH {UU}, {', '.join(steps)} {_NUMBERED.format(f'c{rounds}')}"
 
 
-@query("peer_pressure")
+@query("peer_pressure", _votes())
 def _(s, d):
-    return clustering.peer_pressure(uua(s, d))
+    return clustering.peer_pressure(uu(s, d))
 
 
-@query("groups", f"WITH {NNS} SELECT i % 4 AS label, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS members FROM (SELECT DISTINCT i FROM nns) GROUP BY 1")
+@query("groups", f"WITH {ND} SELECT i % 4 AS label, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS members FROM (SELECT DISTINCT i FROM nd) GROUP BY 1")
 def _(s, d):
-    labels = nns(s, d).df.select(F.col("i").alias("vertex"), (F.col("i") % 4).alias("label")).distinct()
+    labels = nd(s, d).df.select(F.col("i").alias("vertex"), (F.col("i") % 4).alias("label")).distinct()
     return clustering.groups(labels).select("label", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("canonical", f"WITH {NNS}, l AS (SELECT DISTINCT i AS vertex, (i * 7) % 5 AS label FROM nns), f AS (SELECT label, row_number() OVER (ORDER BY min(vertex)) - 1 AS k FROM l GROUP BY label) SELECT vertex, k AS label FROM l JOIN f USING (label)")
+@query("canonical", f"WITH {ND}, l AS (SELECT DISTINCT i AS vertex, (i * 7) % 5 AS label FROM nd), f AS (SELECT label, row_number() OVER (ORDER BY min(vertex)) - 1 AS k FROM l GROUP BY label) SELECT vertex, k AS label FROM l JOIN f USING (label)")
 def _(s, d):
-    return clustering.canonical(nns(s, d).df.select(F.col("i").alias("vertex"), (F.col("i") * 7 % 5).alias("label")).distinct())
+    return clustering.canonical(nd(s, d).df.select(F.col("i").alias("vertex"), (F.col("i") * 7 % 5).alias("label")).distinct())
+
+
+EPSILON = 1e-4
 
 
-@query("local_cluster")
+def _local(seed: int, rounds: int = 60, share: float = 0.15) -> str:
+    steps = ["w AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT * FROM uu UNION ALL SELECT j, i, v FROM uu) GROUP BY 1, 2)", "d AS MATERIALIZED (SELECT i, sum(v) AS deg FROM w GROUP BY i)"]
+    steps += [f"q0 AS (SELECT i, CAST(0 AS DOUBLE) AS p, CAST(1 AS DOUBLE) AS r, deg FROM d WHERE i = {seed})"]
+    goes = f"r > 0 AND r >= {EPSILON} * deg"
+    for k in range(1, rounds + 1):
+        kept = f"SELECT i, CASE WHEN {goes} THEN p + {share} * r ELSE p END AS p, CASE WHEN {goes} THEN (1 - {share}) * r / 2 ELSE r END AS r FROM q{k - 1}"
+        sent = f"SELECT w.j, 0, (1 - {share}) / 2 * w.v * a.r / a.deg FROM (SELECT * FROM q{k - 1} WHERE {goes}) a JOIN w ON w.i = a.i"
+        steps += [f"q{k} AS MATERIALIZED (SELECT i, p, r, deg FROM (SELECT i, sum(p) AS p, sum(r) AS r FROM ({kept} UNION ALL {sent}) GROUP BY i) JOIN d USING (i))"]
+    steps += [f"o AS MATERIALIZED (SELECT i, deg, row_number() OVER (ORDER BY round(p / deg, 12) DESC, i) AS pos FROM q{rounds} WHERE p > 0)"]
+    # An edge is cut while exactly one of its ends is in.
+    steps += ["c AS MATERIALIZED (SELECT a.pos, sum(w.v) AS cut FROM (SELECT DISTINCT pos FROM o) a JOIN o x ON x.pos <= a.pos JOIN w ON w.i = x.i LEFT JOIN o y ON y.i = w.j WHERE y.pos IS NULL OR y.pos > a.pos GROUP BY 1)"]
+    steps += ["v AS (SELECT pos, sum(deg) OVER (ORDER BY pos) AS volume FROM o)", "g AS (SELECT pos, least(volume, (SELECT sum(deg) FROM d) - volume) AS side, coalesce(cut, 0) AS cut FROM v LEFT JOIN c USING (pos))"]
+    steps += [f"b AS (SELECT pos FROM g WHERE side > 0 AND pos >= (SELECT pos FROM o WHERE i = {seed}) ORDER BY round(cut / side, 12), pos LIMIT 1)"]
+    return f"WITH {UU}, {', '.join(steps)} SELECT i AS vertex FROM o WHERE pos <= (SELECT pos FROM b)"
+
+
+@query("local_cluster", _local(0))
 def _(s, d):
-    return clustering.local(uua(s, d), 0)
+    return clustering.local(uu(s, d), 0, epsilon=EPSILON)
 
 
 @query("spectral")
 def _(s, d):
-    return clustering.spectral(uua(s, d), 3)
+    return clustering.spectral(uu(s, d), 3)
 
 
 @query("row_reduction", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 0, 1), (0, 1, 0), (0, 2, 0), (0, 3, -8), (1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 1), (2, 0, 0), (2, 1, 0), (2, 2, 1), (2, 3, -2)) t(i, j, v)")
 def _(s, d):
     m = builders.from_array(s, [[1.0, 2.0, -1.0, -4.0], [2.0, 3.0, -1.0, -11.0], [-2.0, 0.0, -3.0, 22.0]], layout="dense")
     return reduced(m).df.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("stream_edges", f"WITH {SP} SELECT * FROM sp")
+def _(s, d):
+    """The lines as a stream, folded into a stored matrix."""
+    path = f"{shared_dir(s)}/loomgraph/stream-{uuid.uuid4().hex}"
+    lines = _read(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    lines.repartition(4).write.parquet(f"{path}/arrivals")
+    stream = s.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/arrivals")
+    edges.fold(stream, f"{path}/sums", f"{path}/state", "l_suppkey", "l_partkey", "l_quantity").awaitTermination()
+    n, m = (_read(s, d, t).count() for t in ("supplier", "part"))
+    return edges.folded(s, f"{path}/sums", n, m).df

@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset (local runs)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where that is unset and there is one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="loomgraph-")
@@ -33,6 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+class Grown:
+    """A table that grows by written parts; a part is written once, however many come after it."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [cut(first)]
+
+    @property
+    def last(self) -> DataFrame:
+        return self.parts[-1]
+
+    def add(self, df: DataFrame) -> bool:
+        """Writes a part; whether it has any row."""
+        self.parts.append(cut(df))
+        return self.last.limit(1).count() > 0
+
+    @property
+    def df(self) -> DataFrame:
+        return self.last.sparkSession.read.schema(self.last.schema).parquet(*(p._cut_at for p in self.parts))
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of cut() that nothing reads any more."""
     for df in tables:

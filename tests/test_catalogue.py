@@ -1,7 +1,4 @@
-"""Every query with an SQL equivalent against DuckDB.
-
-At sf0.01, where every pair of nations trades: the SQL of some queries (change, ewise_least, set_point and others) takes the nation
-matrix as complete, and differs from the queries on sf0.001, where it isn't."""
+"""Every query with an SQL equivalent against DuckDB, at two scales."""
 
 import os
 
@@ -11,15 +8,13 @@ import pytest
 import __spark_entry__ as entry
 from loomgraph.plans import catalogue
 
-D = "/root/testdata/sf0.01"
-
-
-@pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    for f in os.listdir(D):
-        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{D}/{f}'")
-    return c
+@pytest.fixture(scope="module", params=["0.001", "0.01"])
+def tables(request):
+    """At sf0.001 some nations don't trade with each other, and all are small."""
+    d, c = f"/root/testdata/sf{request.param}", duckdb.connect()
+    for f in os.listdir(d):
+        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{d}/{f}'")
+    return d, c
 
 
 def rows(found, columns):
@@ -28,8 +23,9 @@ def rows(found, columns):
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
-def test_query(spark, con, name):
-    df = catalogue.QUERIES[name](spark, D)
+def test_query(spark, tables, name):
+    d, con = tables
+    df = catalogue.QUERIES[name](spark, d)
     sql = con.execute(catalogue.ORACLES[name])
     columns = [c[0] for c in sql.description]
     assert sorted(columns) == sorted(df.columns)

@@ -17,7 +17,7 @@ def transitions():
 
 def test_transitions_cross_the_blocks_of_ids(spark):
     want, n = transitions()
-    got = catalogue.uua(spark, D)
+    got = catalogue.uu(spark, D)
     assert got.nrows == n and {(r.i, r.j): r.v for r in got.df.collect()} == want
 
 
