@@ -42,7 +42,7 @@ SHORT = 16
 BROADCAST_ROWS = 1_000_000
 #: Texts whose blocks or windows are held at once.
 ROWS = 512
-SEEDS = "doc_id long, th long, start long, size long, ref long, place long"
+SEEDS = "doc_id long, th long, spans array<struct<start: long, size: long, ref: long, place: long>>"
 
 
 def _anchors(h: np.ndarray, window: int, short: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def windows_by_join(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) ->
 
 
 def runs(seeds: DataFrame) -> DataFrame:
-    """Seeds (doc_id, th, start, size, ref, place) with those of a batch made one that continue each other in document and reference."""
+    """doc_id, th, spans (start, size, ref, place): one row for each document of a batch of seeds, those made one that continue each other in document and reference."""
 
     def run(batches):
         for batch in batches:
@@ -160,7 +160,10 @@ def runs(seeds: DataFrame) -> DataFrame:
             new[1:] |= start[1:] > far[:-1]
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(doc)]]) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], th[first], start[first], far[last] - start[first], ref[first], place[first])], names=batch.schema.names)
+            spans = pa.StructArray.from_arrays([pa.array(x) for x in (start[first], far[last] - start[first], ref[first], place[first])], ["start", "size", "ref", "place"])
+            one = np.flatnonzero(np.concatenate([[True], (doc[first][1:] != doc[first][:-1]) | (th[first][1:] != th[first][:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(one, len(first)).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first][one]), pa.array(th[first][one]), lists], names=["doc_id", "th", "spans"])
 
     return seeds.select("doc_id", "th", "start", "size", "ref", "place").mapInArrow(freed(run), SEEDS)
 
@@ -183,7 +186,7 @@ def matches(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFr
     hits = single.join(_sent(written(first, "index")), ["w1", "w2"]).where("ref < doc_id").withColumn("size", F.lit(window).cast("long"))
     seeds = written(runs(whole).unionByName(runs(hits)), "seeds")
     dropped(every, single)
-    return seeds.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", "ref", "place")).alias("spans"))
+    return seeds.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _sent(rows: DataFrame) -> DataFrame:
