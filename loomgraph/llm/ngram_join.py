@@ -54,7 +54,7 @@ ROWS = 256
 #: Nodes that a task remembers.
 DONE = 1 << 18
 #: Pairs of one node that a task compares.
-GROUP = 4096
+GROUP = 256
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
