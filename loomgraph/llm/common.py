@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import shutil
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of sessions without spark.checkpoint.dir (tests), by application.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="loomgraph-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
+from loomgraph.sources.storage import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
