@@ -764,7 +764,7 @@ def _(s, d):
 
 @query("spectral")
 def _(s, d):
-    return clustering.spectral(uu(s, d), 3)
+    return clustering.spectral(uu(s, d), 3, rounds=40)
 
 
 @query("row_reduction", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 0, 1), (0, 1, 0), (0, 2, 0), (0, 3, -8), (1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 1), (2, 0, 0), (2, 1, 0), (2, 2, 1), (2, 3, -2)) t(i, j, v)")
