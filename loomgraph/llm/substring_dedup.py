@@ -42,7 +42,7 @@ SHORT = 16
 BROADCAST_ROWS = 1_000_000
 #: Texts whose blocks or windows are held at once.
 ROWS = 512
-SEEDS = "doc_id long, th long, spans array<struct<start: long, size: long, ref: long, place: long>>"
+SPANS = "doc_id long, th long, spans array<struct<start: long, size: long, ref: long, place: long>>"
 
 
 def _anchors(h: np.ndarray, window: int, short: int) -> np.ndarray:
@@ -141,35 +141,8 @@ def windows_by_join(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) ->
     return texts.mapInArrow(freed(run), "doc_id long, th long, w1 long, w2 long, start long")
 
 
-def runs(seeds: DataFrame) -> DataFrame:
-    """doc_id, th, spans (start, size, ref, place): one row for each document of a batch of seeds, those made one that continue each other in document and reference."""
-
-    def run(batches):
-        for batch in batches:
-            doc, th, start, size, ref, place = (c.to_numpy() for c in batch.columns)
-            if not len(doc):
-                continue
-            order = np.lexsort((start, place - start, ref, th, doc))
-            doc, th, start, size, ref, place = (x[order] for x in (doc, th, start, size, ref, place))
-            same = np.zeros(len(doc), bool)
-            same[1:] = (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (ref[1:] == ref[:-1]) & (place[1:] - start[1:] == place[:-1] - start[:-1])
-            # the farthest end so far within a line of seeds
-            line = np.cumsum(~same)
-            far = np.maximum.accumulate(start + size + line * (1 << 40)) - line * (1 << 40)
-            new = ~same
-            new[1:] |= start[1:] > far[:-1]
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(doc)]]) - 1
-            spans = pa.StructArray.from_arrays([pa.array(x) for x in (start[first], far[last] - start[first], ref[first], place[first])], ["start", "size", "ref", "place"])
-            one = np.flatnonzero(np.concatenate([[True], (doc[first][1:] != doc[first][:-1]) | (th[first][1:] != th[first][:-1])]))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(one, len(first)).astype(np.int32)), spans)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first][one]), pa.array(th[first][one]), lists], names=["doc_id", "th", "spans"])
-
-    return seeds.select("doc_id", "th", "start", "size", "ref", "place").mapInArrow(freed(run), SEEDS)
-
-
 def matches(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, th, spans (array of start, size, ref, place): what each document that has any shares with smaller ones."""
+    """doc_id, th, spans (array of start, size, ref, place): the factors of each document that has any."""
     every = written(blocks(docs, window, short), "blocks")
     least = [F.min("doc_id").alias("ref"), F.min_by("start", "doc_id").alias("place"), F.max("doc_id").alias("last")]
     shared = every.groupBy("anchor").agg(*least, (F.min("print") != F.max("print")).alias("uneven")).where("ref < last").drop("last")
@@ -182,11 +155,20 @@ def matches(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFr
         single = written(windows(docs, anchors, window, short), "windows")
     else:
         single = written(windows_by_join(docs, every.join(uneven, "anchor", "left_semi"), window), "windows")
-    first = single.groupBy("w1", "w2").agg(*least).where("ref < last").drop("last")
-    hits = single.join(_sent(written(first, "index")), ["w1", "w2"]).where("ref < doc_id").withColumn("size", F.lit(window).cast("long"))
-    seeds = written(runs(whole).unionByName(runs(hits)), "seeds")
-    dropped(every, single)
-    return seeds.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    # The index of windows grows with the text, so it is joined by shuffle at any size; it is a table, so that a very common window can be split.
+    first = written(single.groupBy("w1", "w2").agg(*least).where("ref < last").drop("last"), "index")
+    hits = single.join(first.hint("merge"), ["w1", "w2"]).where("ref < doc_id").withColumn("size", F.lit(window).cast("long"))
+    names = ["doc_id", "th", "start", "size", "ref", "place"]
+    seeds = whole.select(*names).unionByName(hits.select(*names)).groupBy("doc_id", "th").agg(F.collect_set(F.struct(*names[2:])).alias("spans"))
+
+    def run(batches):
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            found = [[dict(zip(names[2:], f)) for f in factors(own)] for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.column(2).type)], names=["doc_id", "th", "spans"])
+
+    out = written(seeds.mapInArrow(freed(run), SPANS), "spans")
+    dropped(every, single, first)
+    return out
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -224,7 +206,7 @@ def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, list[by
 
 def _with_spans(rows: DataFrame, window: int) -> DataFrame:
     """rows, which have doc_id (long) and text (string) besides columns of other names than th and spans, with th and spans."""
-    found = written(matches(rows, window), "spans")
+    found = matches(rows, window)
     if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:  # else the texts are shuffled
         found = F.broadcast(found)
     return rows.withColumn("th", F.xxhash64("text")).join(found, ["doc_id", "th"], "left")
