@@ -37,7 +37,7 @@ from loomgraph.llm.common import dropped, freed, table, written
 
 WINDOW = 50
 SHORT = 16
-#: Anchors (8 bytes each, to Python workers), windows or factors (some 40 bytes each) are sent to all tasks up to so many;
+#: Anchors (8 bytes each, to Python workers; some 40 bytes with their places, to joins) are sent to all tasks up to so many;
 #: beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Texts whose blocks or windows are held at once.
@@ -206,10 +206,8 @@ def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, list[by
 
 def _with_spans(rows: DataFrame, window: int) -> DataFrame:
     """rows, which have doc_id (long) and text (string) besides columns of other names than th and spans, with th and spans."""
-    found = matches(rows, window)
-    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:  # else the texts are shuffled
-        found = F.broadcast(found)
-    return rows.withColumn("th", F.xxhash64("text")).join(found, ["doc_id", "th"], "left")
+    # Factors grow with the text, so this is a shuffle at any size, too.
+    return rows.withColumn("th", F.xxhash64("text")).join(matches(rows, window).hint("merge"), ["doc_id", "th"], "left")
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
