@@ -246,7 +246,7 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "offsets_sha256"])
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_sha256 string")
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run, "codecs"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.sources.storage import shared_dir
 
+#: Caches of worker_cache() that are large.
+LARGE = frozenset({"codecs"})
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
@@ -45,12 +48,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def freed(run):
-    """run, a function over batches, after which the worker hands unused memory back to the system: it outlives its stage."""
+def freed(run, *uses: str):
+    """run, a function over batches, around which the worker hands unused memory back to the system, as it outlives its stage:
+    before it the LARGE caches that run doesn't use, which another operator has left; after it what run has freed."""
 
-    @functools.wraps(run)
-    def out(batches):
-        yield from run(batches)
+    def trimmed():
         import pyarrow as pa
 
         pa.default_memory_pool().release_unused()
@@ -59,6 +61,15 @@ def freed(run):
         except AttributeError:  # only glibc has it
             pass
 
+    @functools.wraps(run)
+    def out(batches):
+        if left := LARGE.difference(uses) & worker_cache().keys():
+            for name in left:
+                del worker_cache()[name]
+            trimmed()
+        yield from run(batches)
+        trimmed()
+
     return out
 
 

@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = 0, path: str | N
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), PIECES + (", ids array<int>" if keep_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run, "codecs"), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: Sequence[float], weights: Sequence[float], score: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -49,6 +49,8 @@ HELD = 5
 BROADCAST_ROWS = 1_000_000
 #: Characters that are looked up at once (more only where a word is longer).
 SLICE = 1 << 20
+#: N-grams of documents that are held at once, before they are counted by document.
+WAITING = 1 << 18
 BLANK = re.compile(r"[ \t\r\n]")
 
 
@@ -179,7 +181,7 @@ def key_of(doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> Co
 
 
 def document_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, context, symbol, n: the distinct n-grams of each text, or of each of its slices."""
+    """key, context, symbol, n: the distinct n-grams of each text, or of each part of it that is held at once."""
 
     def run(batches):
         for batch in batches:
@@ -195,11 +197,12 @@ def document_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             size = 0
             for k, t in enumerate(batch.column(1)):
                 for context, symbol in code_grams(t.as_py() or "", order):
-                    held.append((k, context, symbol))
-                    size += len(symbol)
-                    if size >= SLICE:
-                        yield from grouped()
-                        held, size = [], 0
+                    for at in range(0, len(symbol), WAITING):
+                        held.append((k, context[at : at + WAITING], symbol[at : at + WAITING]))
+                        size += len(held[-1][1])
+                        if size >= WAITING:
+                            yield from grouped()
+                            held, size = [], 0
             if size:
                 yield from grouped()
 
