@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.algebra import Semiring, plus_times
-from loomgraph.operators.elementwise import add, subtract
 from loomgraph.operators.matrix import Matrix, Vector, mask_cells, written_with
 from loomgraph.sources.storage import cut
 
@@ -61,35 +58,61 @@ def vxm(x: Vector, a: Matrix, mask=None, out: Vector | None = None, semiring: Se
     return mxv(a.transpose() if transpose else a, x, mask, out, semiring)
 
 
-def _quarter(m: Matrix, half: int, row: int, column: int) -> Matrix:
-    i, j = F.col("i"), F.col("j")
-    inside = (i >= half if row else i < half) & (j >= half if column else j < half)
-    return Matrix(m.df.where(inside).select((i - half * row).alias("i"), (j - half * column).alias("j"), "v"), half, half)
+#: Strassen's seven products: signed quarters (row, column, sign) of the left and of the right side, and where each product goes.
+SEVEN = [
+    ([(0, 0, 1), (1, 1, 1)], [(0, 0, 1), (1, 1, 1)], [(0, 0, 1), (1, 1, 1)]),
+    ([(1, 0, 1), (1, 1, 1)], [(0, 0, 1)], [(1, 0, 1), (1, 1, -1)]),
+    ([(0, 0, 1)], [(0, 1, 1), (1, 1, -1)], [(0, 1, 1), (1, 1, 1)]),
+    ([(1, 1, 1)], [(1, 0, 1), (0, 0, -1)], [(0, 0, 1), (1, 0, 1)]),
+    ([(0, 0, 1), (0, 1, 1)], [(1, 1, 1)], [(0, 0, -1), (0, 1, 1)]),
+    ([(1, 0, 1), (0, 0, -1)], [(0, 0, 1), (0, 1, 1)], [(1, 1, 1)]),
+    ([(0, 1, 1), (1, 1, -1)], [(1, 0, 1), (1, 1, 1)], [(0, 0, 1)]),
+]
 
 
 def strassen(a: Matrix, b: Matrix, crossover: int = 64) -> Matrix:
     """A·B by seven products of half the size where all sides are above crossover, at most LEVELS times; below it by the plain product.
 
-    On joins this saves no work (each product shuffles its own quarters), so the plain product is the one to use."""
+    All products of a level are one table with their number, so there is one join, however many products; both sides are written once.
+    On joins this saves no work (each product has its own quarters), so the plain product is the one to use."""
     _shapes(a.shape, b.shape)
     if crossover < 1:
         raise ValueError("crossover starts at 1")
-    return _strassen(a, b, crossover, LEVELS)
-
-
-def _strassen(a: Matrix, b: Matrix, crossover: int, levels: int) -> Matrix:
-    if not levels or min(*a.shape, b.ncols) <= crossover:
+    halves, sides = [], (*a.shape, b.ncols)
+    while len(halves) < LEVELS and min(sides) > crossover:
+        halves.append(-(-max(sides) // 2))
+        sides = (halves[-1],) * 3
+    if not halves:
         return mxm(a, b)
-    half = -(-max(*a.shape, b.ncols) // 2)
-    (a11, a12), (a21, a22) = ([_quarter(a, half, r, c) for c in (0, 1)] for r in (0, 1))
-    (b11, b12), (b21, b22) = ([_quarter(b, half, r, c) for c in (0, 1)] for r in (0, 1))
-    of = lambda x, y: cut(_strassen(x, y, crossover, levels - 1).df)
-    products = [
-        of(add(a11, a22), add(b11, b22)), of(add(a21, a22), b11), of(a11, subtract(b12, b22)), of(a22, subtract(b21, b11)),
-        of(add(a11, a12), b22), of(subtract(a21, a11), add(b11, b12)), of(subtract(a12, a22), add(b21, b22)),
-    ]
-    # Where each product goes: row, column, sign.
-    goes = [[(0, 0, 1), (1, 1, 1)], [(1, 0, 1), (1, 1, -1)], [(0, 1, 1), (1, 1, 1)], [(0, 0, 1), (1, 0, 1)], [(0, 0, -1), (0, 1, 1)], [(1, 1, 1)], [(0, 0, 1)]]
-    parts = [p.select((F.col("i") + half * r).alias("i"), (F.col("j") + half * c).alias("j"), (F.col("v") * sign).alias("v")) for p, places in zip(products, goes, strict=True) for r, c, sign in places]
-    rows = reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(F.sum("v").cast(a.dtype).alias("v")).where(F.col("v") != 0)
-    return Matrix(rows, a.nrows, b.ncols)
+    left = cut(a.df)
+    right = left if b.df is a.df else cut(b.df)
+    left, right = (x.select(F.lit(0).cast("long").alias("part"), "i", "j", "v") for x in (left, right))
+    for half in halves:
+        left, right = _halved(left, half, 0), _halved(right, half, 1)
+    products = left.select("part", "i", F.col("j").alias("k"), F.col("v").alias("x")).join(right.select("part", F.col("i").alias("k"), "j", F.col("v").alias("y")), ["part", "k"])
+    rows = products.groupBy("part", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    for half in reversed(halves):
+        rows = _joined(rows, half)
+    return Matrix(rows.select("i", "j", F.col("v").cast(a.dtype).alias("v")).where(F.col("v") != 0), a.nrows, b.ncols)
+
+
+def _halved(rows: DataFrame, half: int, side: int) -> DataFrame:
+    """One side of the seven products of each part: the sums of its quarters."""
+    i, j, v = F.col("i"), F.col("j"), F.col("v")
+    places = F.lit(None).cast("array<struct<number:int,sign:int>>")
+    for r in (0, 1):
+        for c in (0, 1):
+            uses = [(n, sign) for n, seven in enumerate(SEVEN) for row, column, sign in seven[side] if (row, column) == (r, c)]
+            places = F.when((i >= half if r else i < half) & (j >= half if c else j < half), F.array(*(F.struct(F.lit(n).alias("number"), F.lit(sign).alias("sign")) for n, sign in uses))).otherwise(places)
+    each = rows.select("part", F.when(i >= half, i - half).otherwise(i).alias("i"), F.when(j >= half, j - half).otherwise(j).alias("j"), "v", F.explode(places).alias("at"))
+    return each.select((F.col("part") * 7 + F.col("at.number")).alias("part"), "i", "j", (v * F.col("at.sign")).alias("v")).groupBy("part", "i", "j").agg(F.sum("v").alias("v")).where(v != 0)
+
+
+def _joined(rows: DataFrame, half: int) -> DataFrame:
+    """The products of each part put where they go in their matrix."""
+    number = F.pmod("part", F.lit(7))
+    places = F.lit(None).cast("array<struct<i:bigint,j:bigint,sign:int>>")
+    for n, (_, _, goes) in enumerate(SEVEN):
+        places = F.when(number == n, F.array(*(F.struct(F.lit(half * r).cast("long").alias("i"), F.lit(half * c).cast("long").alias("j"), F.lit(sign).alias("sign")) for r, c, sign in goes))).otherwise(places)
+    each = rows.select(F.floor(F.col("part") / 7).alias("part"), "i", "j", "v", F.explode(places).alias("at"))
+    return each.select("part", (F.col("i") + F.col("at.i")).alias("i"), (F.col("j") + F.col("at.j")).alias("j"), (F.col("v") * F.col("at.sign")).alias("v")).groupBy("part", "i", "j").agg(F.sum("v").alias("v"))

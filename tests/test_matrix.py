@@ -147,3 +147,15 @@ def test_files_and_streams(spark, tmp_path):
     stream = spark.readStream.schema("from long, to long, weight double").parquet(source)
     S.fold(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert [tuple(r) for r in S.folded(spark, f"{tmp_path}/out", 3, 3).df.collect()] == [(1, 2, 1.0)]
+
+
+def test_strassen_is_one_join_over_sides_written_once(spark, monkeypatch):
+    from loomgraph.operators import multiply
+
+    written = []
+    monkeypatch.setattr(multiply, "cut", lambda df: written.append(df) or df)
+    r = np.random.default_rng(7)
+    x, y = r.integers(-4, 5, (9, 13)), r.integers(-4, 5, (13, 11))
+    got = strassen(B.from_array(spark, x.tolist(), "bigint"), B.from_array(spark, y.tolist(), "bigint"), 3)
+    assert got.raw() == (x @ y).tolist() and len(written) == 2
+    assert got.df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
