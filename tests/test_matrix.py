@@ -159,3 +159,23 @@ def test_strassen_is_one_join_over_sides_written_once(spark, monkeypatch):
     got = strassen(B.from_array(spark, x.tolist(), "bigint"), B.from_array(spark, y.tolist(), "bigint"), 3)
     assert got.raw() == (x @ y).tolist() and len(written) == 2
     assert got.df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def exchanges(df):
+    """What each exchange of the plan deals out, as its columns stand there."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return ["p#" in (after := next(x for x in plan[k + 1 :] if "Project [" in x or "HashAggregate(" in x)) or "partial_sum(p" in after for k, x in enumerate(plan) if "Exchange hashpartitioning" in x]
+
+
+def test_products_are_never_shuffled(spark):
+    from loomgraph.operators.multiply import mxm_blocks
+    from loomgraph.plans.clustering import inflated
+
+    r = np.random.default_rng(5)
+    x, y = r.integers(0, 3, (31, 17)), r.integers(0, 3, (17, 23))
+    a, b = (B.from_array(spark, m.tolist(), "bigint") for m in (x, y))
+    got = mxm(a, b)
+    assert got.raw() == (x @ y).tolist() and not any(exchanges(got.df))
+    cells = mxm_blocks(a, b)
+    assert all(n == 1 for _, n in cells.groupBy("i").agg(F.count_distinct("block")).collect())
+    assert len(exchanges(inflated(cells, 2, "block"))) == len(exchanges(cells))
