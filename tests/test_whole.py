@@ -46,3 +46,21 @@ def test_clusters_are_of_all_users(spark):
     _, n = transitions()
     for name in ("markov", "peer_pressure", "spectral"):
         assert sorted(r.vertex for r in catalogue.QUERIES[name](spark, D).collect()) == list(range(n))
+
+
+def test_batches_of_the_stream_are_bounded(spark, monkeypatch):
+    """More lines are more batches, not larger files or batches."""
+    from loomgraph.streaming import edges
+
+    sizes, fold = [], edges.fold
+
+    def watched(stream, path, *rest):
+        out = fold(stream, path, *rest)
+        out.awaitTermination()
+        sizes.extend(p["numInputRows"] for p in out.recentProgress if p["numInputRows"])
+        return out
+
+    monkeypatch.setattr(edges, "fold", watched)
+    monkeypatch.setattr(catalogue, "ARRIVAL", 1000)
+    catalogue.QUERIES["stream_edges"](spark, D).collect()
+    assert sum(sizes) == 60_000 and len(sizes) >= 4 and max(sizes) <= 16_000
